@@ -53,7 +53,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held whole in the JVM and in Python.
+BATCH_ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,3 +70,24 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [x for x in names if x not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {missing}; the table has {df.columns}")
+
+
+def map_rows(df: DataFrame, schema: str, per_row, *columns: str) -> DataFrame:
+    """df's ``columns`` through ``per_row(*values) -> tuple`` of ``schema``, in Arrow batches."""
+    return df.select(*columns).mapInArrow(_Mapper(schema, per_row), schema)
+
+
+class _Mapper:
+    def __init__(self, schema: str, per_row):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        self.schema, self.per_row = to_arrow_schema(StructType.fromDDL(schema)), per_row
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [self.per_row(*x) for x in zip(*(c.to_pylist() for c in b.columns))]
+            cols = list(zip(*rows)) if rows else [[] for _ in self.schema]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, self.schema)], schema=self.schema)
