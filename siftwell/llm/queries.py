@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from siftwell.llm import bpe, html, mixing, pii, quality
+from siftwell.llm import ann, bpe, html, mixing, pii, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_bpe": bpe.op6_bpe,
     "op9_html": html.op9_html,
+    "op10_ann": ann.op10_ann,
 }
 
 ORACLE_SQL = {
