@@ -284,7 +284,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     wide = F.col("list").cast("long") * F.lit(1 << 32)
     held = lists.select((wide + one).alias("part"), F.lit(False).alias("query"), "vec_id", "embedding")
     asked = valid(queries).where(F.size("embedding") == d).mapInArrow(_Assign(shared, True), schema)
-    asked = asked.select((wide + F.explode(F.sequence(F.lit(0), n_parts - 1)).cast("long")).alias("part"), F.lit(True).alias("query"), "vec_id", "embedding")
+    asked = asked.select("list", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("p"))
+    asked = asked.select((wide + F.col("p").cast("long")).alias("part"), F.lit(True).alias("query"), "vec_id", "embedding")
     work = held.unionByName(asked).repartition("part").sortWithinPartitions("part", "query")
     found = work.mapInArrow(_Search(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
