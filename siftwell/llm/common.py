@@ -55,10 +55,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 #: Rows of an Arrow batch: texts may be long, and a batch is held whole in the JVM and in Python.
 BATCH_ROWS = 500
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,10 +1,11 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from siftwell.llm import ann, bpe, html, mixing, pii, quality
+from siftwell.llm import ann, bpe, html, mixing, pii, quality, rans
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_pii": pii.op2_pii,
+    "op3_rans": rans.op3_rans,
     "op5_quality": quality.op5_quality,
     "op6_bpe": bpe.op6_bpe,
     "op9_html": html.op9_html,
