@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from siftwell.llm import ann, bpe, html, mixing, pii, quality, rans, rlz
+from siftwell.llm import ann, bpe, html, jaccard, mixing, pii, quality, rans, rlz
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_rans": rans.op3_rans,
     "op5_quality": quality.op5_quality,
     "op6_bpe": bpe.op6_bpe,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_rlz": rlz.op8_rlz,
     "op9_html": html.op9_html,
     "op10_ann": ann.op10_ann,
