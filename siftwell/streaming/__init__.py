@@ -1,0 +1,2 @@
+"""The engine has no streaming operator: its incremental work is the caches of ``siftwell.sources.corpus`` and
+``siftwell.operators.dense.missing_embeddings``, which compute only what a former run lacks."""
