@@ -164,3 +164,9 @@ def answer_metrics(rows: DataFrame, retrieval: bool = True) -> DataFrame:
         forbidden_hits(F.col("answer"), F.col("claims")).alias("forbidden_claim_hits"),
         F.when(~F.col("case_answerable"), ~F.col("answerable")).alias("refusal_correct"),
     )
+
+
+def generate(rows: DataFrame, model) -> DataFrame:
+    """Parsed results of a provider: ``model(iterator of pandas frames)`` adds ``raw_output`` to rows with case_id, messages."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return parse_generations(rows.mapInPandas(model, f"{schema}, raw_output string"))

@@ -53,3 +53,45 @@ def payloads(items: DataFrame, order: str = "retrieval") -> DataFrame:
     fields = ["question", "answerable", "answer", "citations", "reference_answer", "required_facts", "forbidden_claims"]
     ordered = evidence_order(F.col("evidence"), F.lit(order)).alias("evidence")
     return items.select("case_id", F.to_json(F.struct("case_id", *[f for f in fields if f in items.columns], ordered)).alias("payload"))
+
+
+VERDICT = "label string, groundedness int, relevance int, citation_support int, completeness int, error_flags array<string>, input_tokens long, output_tokens long, latency_ms double"
+
+
+def repetitions(items: DataFrame, repeats: int = 3) -> DataFrame:
+    """case_id, repetition, evidence_order, payload for each repetition; the orders take turns. Repeats are odd, 3 at least."""
+    if repeats < 3 or repeats % 2 == 0:
+        raise ValueError("repeats is odd and 3 or more")
+    out = None
+    for i in range(repeats):
+        order = ORDERS[i % len(ORDERS)]
+        part = payloads(items, order).withColumn("repetition", F.lit(i)).withColumn("evidence_order", F.lit(order))
+        out = part if out is None else out.unionByName(part)
+    return out.select("case_id", "repetition", "evidence_order", "payload")
+
+
+def evaluate(items: DataFrame, model, repeats: int = 3) -> DataFrame:
+    """Verdicts of a provider: ``model(iterator of pandas frames)`` adds the columns of VERDICT to its rows."""
+    rows = repetitions(items, repeats)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(model, f"{schema}, {VERDICT}")
+
+
+def promotion(verdicts: DataFrame, reference: DataFrame, safety_case=None) -> DataFrame:
+    """gate, observed, passed: agreement, kappa, stability, the safety case's majority, and all of them together.
+
+    Unsure cases are left out of agreement and count for stability. Without a comparable case, or if the safety
+    case has no sure verdict, the gate fails instead of raising.
+    """
+    major = majority(verdicts)
+    pairs = reference.select("case_id", F.col("label").alias("reference")).join(major.select("case_id", F.col("label").alias("judge")), "case_id")
+    a = agreement(pairs.where("judge is not null"))
+    stable = stability(verdicts).agg(F.round(F.avg(F.col("stable").cast("double")), 6).alias("observed"))
+    gates = a.select(F.lit("agreement").alias("gate"), F.col("agreement").alias("observed"), (F.col("agreement") >= AGREEMENT).alias("passed"))
+    gates = gates.unionByName(a.select(F.lit("kappa").alias("gate"), F.col("kappa").alias("observed"), (F.col("kappa") >= KAPPA).alias("passed")))
+    gates = gates.unionByName(stable.select(F.lit("stability").alias("gate"), "observed", (F.col("observed") >= STABILITY).alias("passed")))
+    if safety_case is not None:
+        same = pairs.where(F.col("case_id") == safety_case).agg(F.max((F.col("reference") == F.col("judge")).cast("double")).alias("observed"))
+        gates = gates.unionByName(same.select(F.lit("safety").alias("gate"), "observed", (F.col("observed") == 1).alias("passed")))
+    gates = gates.withColumn("passed", F.coalesce("passed", F.lit(False)))
+    return gates.unionByName(gates.agg(F.lit("accepted").alias("gate"), F.lit(None).cast("double").alias("observed"), F.bool_and("passed").alias("passed")))

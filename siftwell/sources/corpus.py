@@ -57,6 +57,21 @@ def write_corpus(files: DataFrame, out: str, force: bool = False) -> None:
     files.write.mode("overwrite" if force else "errorifexists").parquet(out)
 
 
+def build_index(manifest: DataFrame, files: DataFrame, out: str, max_words: int = 220, overlap: int = 40) -> DataFrame:
+    """Verify every document of the manifest (document_id, source_path, sha256), chunk all, write and read the chunks.
+
+    files: path, sha256, content. A document that is missing or has another hash raises.
+    """
+    from siftwell.operators.chunking import chunk_documents
+
+    rows = manifest.join(files.select(F.col("path").alias("source_path"), F.col("sha256").alias("found"), "content"), "source_path", "left")
+    if bad := rows.where(F.col("found").isNull() | (F.col("found") != F.col("sha256"))).select("document_id").take(1):
+        raise ValueError(f"document {bad[0][0]} is missing or has changed")
+    docs = rows.select("document_id", "source_path", F.decode("content", "UTF-8").alias("text"))
+    chunk_documents(docs, max_words, overlap).write.mode("overwrite").parquet(out)
+    return manifest.sparkSession.read.parquet(out)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Typed JSON lines; blank lines are skipped, a line that doesn't parse and a repeated key raise."""
     rows = spark.read.text(path).where(F.btrim("value") != "")

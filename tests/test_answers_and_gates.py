@@ -117,3 +117,40 @@ def test_sources(spark, tmp_path):
         corpus.replace_index(vec, "i", 3, str(tmp_path / "ix"))
     (tmp_path / "m.yaml").write_text("max_file_bytes: 10\nsources:\n- {id: a, revision: " + "a" * 40 + ", include: ['*']}\n")
     assert corpus.load_source_manifest(str(tmp_path / "m.yaml"))["sources"][0]["id"] == "a"
+
+
+def test_providers(spark):
+    items = spark.createDataFrame([(i, ["a", "b"], "q") for i in range(4)], "case_id long, evidence array<string>, question string")
+
+    def model(frames):
+        for f in frames:
+            first = [json.loads(p)["evidence"][0] for p in f["payload"]]
+            label = ["fail" if c == 3 else "pass" for c in f["case_id"]]
+            yield f.assign(label=label, groundedness=2, relevance=2, citation_support=2, completeness=2, error_flags=[[x] for x in first], input_tokens=10, output_tokens=5, latency_ms=1.0)
+
+    v = judge.evaluate(items, model)
+    assert {(r["evidence_order"], r["error_flags"][0]) for r in v.collect()} == {("retrieval", "a"), ("reverse", "b"), ("rotate", "b")}
+    ref = spark.createDataFrame([(0, "pass"), (1, "pass"), (2, "fail"), (3, "fail")], "case_id long, label string")
+    g = {r["gate"]: r for r in judge.promotion(v, ref, 3).collect()}
+    assert g["agreement"]["observed"] == 0.75 and g["kappa"]["observed"] == 0.5 and g["stability"]["passed"] and g["safety"]["passed"] and not g["accepted"]["passed"]
+    assert not {r["gate"]: r["passed"] for r in judge.promotion(v, ref.limit(0), 3).collect()}["safety"]
+    for n in (1, 4):
+        with pytest.raises(ValueError):
+            judge.repetitions(items, n)
+
+    def generator(frames):
+        for f in frames:
+            yield f.assign(raw_output=['{"answerable": true, "answer": "' + m[-1]["content"] + '", "citations": []}' for m in f["messages"]])
+
+    rows = items.select("case_id", answers.prompt(F.col("question"), F.lit(""), grounded=False).alias("messages"))
+    assert {r["answer"] for r in answers.generate(rows, generator).collect()} == {"Question: q"}
+
+
+def test_build_index(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("# T\nsome words")
+    files = corpus.read_files(spark, str(tmp_path / "in"))
+    manifest = files.select(F.lit("d").alias("document_id"), F.col("path").alias("source_path"), "sha256")
+    assert [r["text"] for r in corpus.build_index(manifest, files, str(tmp_path / "ix")).collect()] == ["T\nsome words"]
+    with pytest.raises(ValueError, match="changed"):
+        corpus.build_index(manifest.withColumn("sha256", F.lit("0")), files, str(tmp_path / "ix2"))
