@@ -6,7 +6,7 @@ elements, so if the allocations of a probing set add up to H + 1, one of its all
 set's: allocation 1 finds equal segments, allocation 2 also those one deletion apart, 0 skips. A set probes its own
 band and those below that can hold a partner. Allocation goes by cost: segments with many elements are rare
 and cheap, small ones dear, empty ones the dearest; the index holds every segment, and the one-deletion
-neighbourhoods of the small ones that allocation 2 can ask for. Candidates are checked exactly on the texts.
+neighbourhoods of the small ones among the first that allocation 2 can ask for. Candidates are checked exactly on the texts.
 
 What is joined are classes of equal sets, not documents. All members of an index entry are tied to its first
 member, not to each other: linked stars become components, and only where an entry still holds classes of
@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,16 +36,21 @@ from siftwell.llm.rlz import Prefixes, _signed, mixed, word_hashes
 
 N = 3
 PERCENT = 90
-#: Segments beyond those that the pigeonhole needs, so that a few small ones can be skipped.
+#: Segments beyond those that the pigeonhole needs, and one more for each SPARE_OF, so that small ones can be skipped.
 SPARE = 1
+SPARE_OF = 32
+#: One segment in RESERVE, the first ones, may be probed for one deletion, and holds neighbourhoods in the index.
+RESERVE = 16
 #: Segments up to this size have their one-deletion neighbourhoods in the index.
 SMALL = 3
 #: Histogram buckets of a set; the sum of their differences is a lower bound of the sets' difference.
-BUCKETS = 64
+BUCKETS = 256
 #: Index entries joined in memory before they are sent.
 CHUNK = 400_000
 #: Texts checked against one copy of a first member.
 FAN = 2048
+#: Bits of the filter of wanted ids, which is broadcast; ids share bits, so it only ever lets too many through.
+FILTER_BITS = 1 << 26
 #: Members of an entry compared at once.
 BLOCK = 1024
 NO_ID = (1 << 63) - 1
@@ -80,7 +86,8 @@ class Bands:
 
     def segments(self, b: int) -> int:
         high = self.lows[b + 1] - 1
-        return most_apart(high, high * 100 // self.percent, self.percent) + 1 + self.spare
+        need = most_apart(high, high * 100 // self.percent, self.percent) + 1
+        return need + self.spare * (1 + need // SPARE_OF)
 
     def probed(self, n: int) -> range:
         return range(self.of(max(1, -(-n * self.percent // 100))), self.of(n) + 1)
@@ -117,7 +124,8 @@ def entries(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
         full = order[sizes[order] > 0]
         one = full[:need]  # allocation 1, the cheapest first
         need -= len(one)
-        two = [i for i in one.tolist() if 2 <= sizes[i] < SMALL][:need] if need else []  # raised to 2
+        reserve = 1 + m // RESERVE
+        two = [i for i in one.tolist() if i < reserve and 2 <= sizes[i] < SMALL][:need] if need else []  # raised to 2
         need -= len(two)
         empty = np.flatnonzero(sizes == 0)[: max(0, need)]  # nothing cheaper is left
         if b == own:
@@ -125,7 +133,7 @@ def entries(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
             probes[sizes == 0] = False
             probes[empty] = True
             add(whole, probes)
-            for i in np.flatnonzero((sizes > 0) & (sizes <= SMALL)).tolist():
+            for i in np.flatnonzero((sizes[:reserve] > 0) & (sizes[:reserve] <= SMALL)).tolist():
                 add(_signature(b, i, content[i] - value[edges[i] : edges[i + 1]]), i in two)
         else:
             add(whole[one], True)
@@ -136,7 +144,7 @@ def entries(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
 
 
 def histogram(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes()
+    return np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
 def set_key(s: np.ndarray) -> int:
@@ -197,15 +205,56 @@ class _Index:
         out = [(ENTRY, sig[starts], key[starts], asks)]
         other = key != key[lead]
         if other.any():
-            out.append((MEMBER, sig[other], key[other], np.zeros(other.sum(), np.int32)))
-            pairs = np.unique(np.stack([key[lead][other], key[other]], 1)[asks[np.cumsum(new) - 1][other] > 0], axis=0)
-            out.append((PAIR, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int32)))
+            with_first = np.repeat(np.maximum.reduceat(other, starts), np.diff(np.append(starts, len(sig))))
+            out.append((MEMBER, sig[with_first], key[with_first], asks[np.cumsum(new) - 1][with_first]))
+            pairs, times = np.unique(np.stack([key[lead][other], key[other]], 1)[asks[np.cumsum(new) - 1][other] > 0], axis=0, return_counts=True)
+            out.append((PAIR, pairs[:, 0], pairs[:, 1], times.astype(np.int32)))
         for kind, a, b, n in out:
             for lo in range(0, len(a), 50_000):
                 part = slice(lo, lo + 50_000)
                 yield self.batch(np.full(len(a[part]), kind, np.int8), a[part], b[part], n[part])
 
 
+class _Meet:
+    """Rows of ROWS sorted by a within a task: entries that one class alone has go, the others stay with their first
+    class in ``first``; rows of other kinds pass through."""
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        held = None  # the last entry, as it may go on in the next batch
+        for b in batches:
+            kind = b.column(0).to_numpy()
+            if (other := np.flatnonzero(kind != ENTRY)).size:
+                rest = b.take(pa.array(other))
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.nulls(rest.num_rows, pa.int64())], names=[*rest.schema.names, "first"])
+            own = kind == ENTRY
+            if not own.any():
+                continue
+            a, k, n = (b.column(i).to_numpy()[own] for i in (1, 2, 3))
+            if held is not None:
+                a, k, n = (np.concatenate(x) for x in zip(held, (a, k, n)))
+            cut = int(np.searchsorted(a, a[-1]))
+            held = tuple(x[cut:] for x in (a, k, n))
+            yield from self.several(a[:cut], k[:cut], n[:cut])
+        if held is not None:
+            yield from self.several(*held)
+
+    @staticmethod
+    def several(a, k, n):
+        import pyarrow as pa
+
+        if len(a) < 2:
+            return
+        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        sizes = np.diff(np.append(starts, len(a)))
+        first, last = np.minimum.reduceat(k, starts), np.maximum.reduceat(k, starts)
+        keep = np.repeat((first != last) & (np.maximum.reduceat(n, starts) > 0), sizes)
+        if keep.any():
+            m = int(keep.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, ENTRY, np.int8)), pa.array(a[keep]), pa.array(k[keep]), pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.binary()), pa.array(np.repeat(first, sizes)[keep])], names=["kind", "a", "b", "n", "histogram", "first"])
+
+
 class _Sieve:
     """Drops pairs whose sizes and histograms rule out the threshold. Columns: k1, k2, n1, n2, h1, h2."""
 
@@ -216,8 +265,8 @@ class _Sieve:
         for b in batches:
             if b.num_rows:
                 n1, n2 = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-                h1, h2 = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int32) for i in (4, 5))
-                near = np.abs(h1 - h2).sum(1) <= (n1 + n2) * (100 - self.percent) // (100 + self.percent)
+                h1, h2 = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for i in (4, 5))
+                near = np.abs(h1 - h2).sum(1, dtype=np.int64) <= (n1 + n2) * (100 - self.percent) // (100 + self.percent)
                 import pyarrow as pa
 
                 yield b.select([0, 1]).filter(pa.array(near))
@@ -261,7 +310,7 @@ class _Between:
             if not b.num_rows:
                 continue
             a, comp, k, n = (b.column(i).to_numpy() for i in range(4))
-            h = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int32)
+            h = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
             cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(a)]):
                 if a[lo] != key:
@@ -289,7 +338,7 @@ class _Between:
                     for p in range(0, len(i), 1 << 16):
                         q = slice(p, p + (1 << 16))
                         ni, nj = n[x][i[q]], n[y][j[q]]
-                        ok[q] = np.abs(h[x][i[q]] - h[y][j[q]]).sum(1) <= (ni + nj) * (100 - self.percent) // (100 + self.percent)
+                        ok[q] = np.abs(h[x][i[q]] - h[y][j[q]]).sum(1, dtype=np.int64) <= (ni + nj) * (100 - self.percent) // (100 + self.percent)
                     k1, k2 = k[x][i[ok]], k[y][j[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k1, k2)), pa.array(np.maximum(k1, k2))], names=["k1", "k2"])
 
@@ -311,6 +360,25 @@ def connected(links: DataFrame, start: DataFrame) -> DataFrame:
         labels = materialize(labels.join(moved, F.col("comp") == F.col("old"), "left").select("k", F.coalesce("to", "comp").alias("comp")), "join-labels")
 
 
+def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose ``doc`` is not in ``wanted``: a filter of bounded size spares their shuffle."""
+    spot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    wide = 1 << 15
+    found = wanted.select(spot.alias("p")).groupBy((F.col("p") / wide).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("p") % wide).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in found:  # at most FILTER_BITS / 2^15 rows of 4 KB
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[r["b"] * wide // 8 : r["b"] * wide // 8 + len(part)] = part
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+
+    return rows.where(held(spot))
+
+
 def check(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (k1, k2) of classes whose sets reach the threshold."""
     c1 = classes.select(F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("histogram").alias("h1"))
@@ -325,7 +393,7 @@ def check(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent
     leads = fans.select(F.col("k1").alias("first"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.lit(True).alias("lead"), F.col("k1").alias("k"))
     wanted = materialize(others.unionByName(leads).join(ids, "k"), "join-wanted")
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    rows = texts.join(wanted, "doc").select("first", "part", "lead", "k", "text").repartition("first", "part").sortWithinPartitions("first", "part", F.desc("lead"))
+    rows = only_wanted(texts, wanted).join(wanted, "doc").select("first", "part", "lead", "k", "text").repartition("first", "part").sortWithinPartitions("first", "part", F.desc("lead"))
     return rows.mapInArrow(_Check(n, percent), "k1 long, k2 long").distinct()
 
 
@@ -334,23 +402,23 @@ def components(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int =
     require(docs, "doc_id", "text")
     if not 1 <= percent <= 100 or n < 1 or spare < 0:
         raise ValueError("percent is 1 to 100, n 1 or more, spare 0 or more")
-    parsed = materialize(docs.select("doc_id", "text").mapInArrow(_Index(n, percent, spare, chunk), ROWS), "join-index")
+    rows = docs.select("doc_id", "text").mapInArrow(_Index(n, percent, spare, chunk), ROWS)
+    # entries meet in one shuffle and are not written; what is written is what several classes share
+    parsed = materialize(rows.repartition("a").sortWithinPartitions("a").mapInArrow(_Meet(), ROWS + ", first long"), "join-index")
     own = parsed.where(F.col("kind") == DOC)
     classes = materialize(own.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("doc"), F.max("n").alias("n"), F.max("histogram").alias("histogram")), "join-classes")
-    entry = W.partitionBy("a")
-    held = parsed.where(F.col("kind") == ENTRY).select("a", "b", "n").repartition("a")
-    held = held.select("a", "b", F.min("b").over(entry).alias("first"), F.max("b").over(entry).alias("last"), F.max("n").over(entry).alias("asked"))
-    groups = materialize(held.where("first != last and asked > 0").select("a", "b", "first"), "join-groups")
-    pairs = groups.where("b != first").select(F.col("first").alias("k1"), F.col("b").alias("k2"))
-    pairs = pairs.unionByName(parsed.where(F.col("kind") == PAIR).select(F.col("a").alias("k1"), F.col("b").alias("k2"))).distinct()
+    groups = parsed.where(F.col("kind") == ENTRY).select("a", "b", "first")
+    # first round: each class is checked against the one with which it shares most entries
+    shared = groups.where("b != first").select(F.col("first").alias("k1"), F.col("b").alias("k2"), F.lit(1).alias("n"))
+    shared = shared.unionByName(parsed.where(F.col("kind") == PAIR).select(F.col("a").alias("k1"), F.col("b").alias("k2"), "n"))
+    shared = shared.groupBy("k1", "k2").agg(F.sum("n").alias("n")).groupBy("k2").agg(F.max(F.struct("n", "k1")).alias("m"))
+    pairs = materialize(shared.select("m.k1", "k2"), "join-partners")
     links = materialize(check(docs, classes, pairs, n, percent), "join-stars")
     labels = materialize(connected(links, classes.select("k", F.col("k").alias("comp"))), "join-first")
     # entries that still hold several components: pairs between these
-    members = groups.select("a", F.col("b").alias("k")).unionByName(parsed.where(F.col("kind") == MEMBER).select("a", F.col("b").alias("k"))).unionByName(
-        parsed.where((F.col("kind") == ENTRY) & (F.col("n") > 0)).select("a", F.col("b").alias("k")).join(parsed.where(F.col("kind") == MEMBER).select("a").distinct(), "a", "left_semi")
-    )
-    members = materialize(members.distinct().join(labels, "k"), "join-members")
-    open_ = members.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("a")
+    members = parsed.where(F.col("kind").isin(ENTRY, MEMBER)).groupBy("a", F.col("b").alias("k")).agg(F.max("n").alias("asked"))
+    members = materialize(members.join(labels, "k"), "join-members")
+    open_ = members.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("asked").alias("asked")).where("c0 != c1 and asked > 0").select("a")
     rest = members.join(open_, "a", "left_semi").join(classes.select("k", "n", "histogram"), "k")
     rest = rest.select("a", "comp", "k", "n", "histogram").repartition("a").sortWithinPartitions("a")
     between = rest.mapInArrow(_Between(percent), "k1 long, k2 long").distinct().join(pairs, ["k1", "k2"], "left_anti")
