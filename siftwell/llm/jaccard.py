@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialize, require, table
+from siftwell.llm.common import materialize, release, require, table
 from siftwell.llm.rlz import Prefixes, _signed, mixed, word_hashes
 
 N = 3
@@ -51,6 +51,8 @@ CHUNK = 400_000
 FAN = 2048
 #: Bits of the filter of wanted ids, which is broadcast; ids share bits, so it only ever lets too many through.
 FILTER_BITS = 1 << 26
+#: Least entries of a class that its rows carry: of all entries that two classes share, one of these makes the pair.
+LEAST = 8
 #: Members of an entry compared at once.
 BLOCK = 1024
 NO_ID = (1 << 63) - 1
@@ -299,34 +301,40 @@ class _Check:
 
 
 class _Between:
-    """Pairs between components inside an entry. Rows sorted by entry: a, comp, k, n, histogram."""
+    """Pairs between components inside an entry, each in the least entry that both sides carry.
+
+    Rows sorted by entry: a, comp, k, n, histogram, least (the class's least entries, sorted).
+    """
 
     def __init__(self, percent: int):
         self.percent = percent
 
     def __call__(self, batches):
-        key, rows = None, []
+        key, rows, entry_max = None, [], np.iinfo(np.int64).max
         for b in batches:
             if not b.num_rows:
                 continue
             a, comp, k, n = (b.column(i).to_numpy() for i in range(4))
             h = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+            low = np.full((len(a), LEAST), entry_max, np.int64)
+            for row, x in zip(low, b.column(5).to_pylist()):
+                row[: len(x)] = x
             cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(a)]):
                 if a[lo] != key:
                     if rows:
-                        yield from self.pairs(rows)
+                        yield from self.pairs(key, rows)
                     key, rows = a[lo], []
-                rows.append((comp[lo:hi], k[lo:hi], n[lo:hi].astype(np.int64), h[lo:hi]))
+                rows.append((comp[lo:hi], k[lo:hi], n[lo:hi].astype(np.int64), h[lo:hi], low[lo:hi]))
         if rows:
-            yield from self.pairs(rows)
+            yield from self.pairs(key, rows)
 
-    def pairs(self, rows):
+    def pairs(self, entry, rows):
         import pyarrow as pa
 
-        comp, k, n, h = (np.concatenate(c) for c in zip(*rows))
+        comp, k, n, h, low = (np.concatenate(c) for c in zip(*rows))
         order = np.argsort(n, kind="stable")
-        comp, k, n, h = comp[order], k[order], n[order], h[order]
+        comp, k, n, h, low = comp[order], k[order], n[order], h[order], low[order]
         for lo in range(0, len(k), BLOCK):
             x = slice(lo, lo + BLOCK)
             end = int(np.searchsorted(n, n[x][-1] * 100 // self.percent, side="right"))
@@ -339,6 +347,12 @@ class _Between:
                         q = slice(p, p + (1 << 16))
                         ni, nj = n[x][i[q]], n[y][j[q]]
                         ok[q] = np.abs(h[x][i[q]] - h[y][j[q]]).sum(1, dtype=np.int64) <= (ni + nj) * (100 - self.percent) // (100 + self.percent)
+                    i, j = i[ok], j[ok]
+                    for p in range(0, len(i), 1 << 16):  # made in a lesser entry
+                        q = slice(p, p + (1 << 16))
+                        li, lj = low[x][i[q]], low[y][j[q]]
+                        ok[p : p + len(li)] = ~((li[:, :, None] == lj[:, None, :]) & (li < entry)[:, :, None]).any((1, 2))
+                    ok = ok[: len(i)]
                     k1, k2 = k[x][i[ok]], k[y][j[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k1, k2)), pa.array(np.maximum(k1, k2))], names=["k1", "k2"])
 
@@ -405,6 +419,7 @@ def components(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int =
     rows = docs.select("doc_id", "text").mapInArrow(_Index(n, percent, spare, chunk), ROWS)
     # entries meet in one shuffle and are not written; what is written is what several classes share
     parsed = materialize(rows.repartition("a").sortWithinPartitions("a").mapInArrow(_Meet(), ROWS + ", first long"), "join-index")
+    release(docs.sparkSession)
     own = parsed.where(F.col("kind") == DOC)
     classes = materialize(own.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("doc"), F.max("n").alias("n"), F.max("histogram").alias("histogram")), "join-classes")
     groups = parsed.where(F.col("kind") == ENTRY).select("a", "b", "first")
@@ -414,15 +429,18 @@ def components(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int =
     shared = shared.groupBy("k1", "k2").agg(F.sum("n").alias("n")).groupBy("k2").agg(F.max(F.struct("n", "k1")).alias("m"))
     pairs = materialize(shared.select("m.k1", "k2"), "join-partners")
     links = materialize(check(docs, classes, pairs, n, percent), "join-stars")
+    release(docs.sparkSession)
     labels = materialize(connected(links, classes.select("k", F.col("k").alias("comp"))), "join-first")
     # entries that still hold several components: pairs between these
     members = parsed.where(F.col("kind").isin(ENTRY, MEMBER)).groupBy("a", F.col("b").alias("k")).agg(F.max("n").alias("asked"))
     members = materialize(members.join(labels, "k"), "join-members")
     open_ = members.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("asked").alias("asked")).where("c0 != c1 and asked > 0").select("a")
-    rest = members.join(open_, "a", "left_semi").join(classes.select("k", "n", "histogram"), "k")
-    rest = rest.select("a", "comp", "k", "n", "histogram").repartition("a").sortWithinPartitions("a")
+    rest = members.join(open_, "a", "left_semi").groupBy("k", "comp").agg(F.sort_array(F.collect_list("a")).alias("all"))
+    rest = rest.select("k", "comp", F.explode("all").alias("a"), F.slice("all", 1, LEAST).alias("least")).join(classes.select("k", "n", "histogram"), "k")
+    rest = rest.select("a", "comp", "k", "n", "histogram", "least").repartition("a").sortWithinPartitions("a")
     between = rest.mapInArrow(_Between(percent), "k1 long, k2 long").distinct().join(pairs, ["k1", "k2"], "left_anti")
     more = materialize(check(docs, classes, between, n, percent), "join-more")
+    release(docs.sparkSession)
     final = connected(links.unionByName(more), labels)
     named = materialize(final.join(classes.select("k", "doc"), "k"), "join-named")
     named = named.join(named.groupBy("comp").agg(F.min("doc").alias("component")), "comp").select("k", "component")
