@@ -43,12 +43,25 @@ LANES = 64
 STEPS = 1024
 SECTION = 2_000_000
 END_ID = 1
-#: Words whose ids a worker keeps; beyond it they are forgotten.
-CACHE = 400_000
+#: Words, and parts of words, whose ids a worker keeps; beyond it they are forgotten.
+CACHE = 700_000
+#: Words given to the library in one call's text.
+JOINED = 64
+#: ASCII symbols that the split pattern keeps apart from letters before them (no apostrophe: it may begin a contraction).
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LOW = np.uint64(1 << 31)
 U32 = np.uint64(32)
 
 
+#: Stands for the end of a text; no word holds a space.
+END = " "
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
 class Words:
     """Ids of words by the tokenizer's own library, one call for each batch's new words."""
 
@@ -62,18 +75,49 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.number = _Numbers({END: 0})
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 1
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat[0], self.length[0] = END_ID, 1
+        self.parts: dict[str, tuple[int, ...]] = {}
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.number) > CACHE:
+    @staticmethod
+    def split(word: str) -> tuple[str, ...]:
+        """Letters and the symbols behind them are encoded apart; any other word goes as it is."""
+        head = word.rstrip(TAIL)
+        if not head.isalpha():
+            return (word,)
+        tail = word[len(head) :]
+        head = head.lower() if head.isascii() else head
+        return (head, tail) if tail else (head,)
+
+    def learn_parts(self, new: list[str]) -> None:
+        """One call for all; words of letters are joined by spaces, of which each is one pre-token."""
+        letters, others = [], []
+        for x in new:
+            (letters if x.isalpha() else others).append(x)
+        groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids, at = e.ids, e.word_ids
+            cuts = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1]), len(at)]
+            if len(cuts) == len(group) + 1:
+                for x, lo, hi in zip(group, cuts, cuts[1:]):
+                    self.parts[x] = tuple(ids[lo:hi])
+            else:
+                others += group
+        for x, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.parts[x] = tuple(e.ids)
+
+    def learn(self, words: set[str], keep: bool = False) -> None:
+        if not keep and (len(self.number) > CACHE or len(self.parts) > CACHE):
             self.forget()
-        number = self.number
+        number, parts = self.number, self.parts
         new = [w for w in words if w not in number]
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        split = list(map(self.split, new))
+        self.learn_parts(list({x for ps in split for x in ps if x not in parts}))
+        ids = [parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]] for ps in split]
         n, lengths = len(number), np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
         while self.used + total > len(self.flat):
@@ -88,20 +132,23 @@ class Words:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        words = [words_of(x) for x in texts]
-        self.learn(set().union(*words) if words else set())
-        number = self.number
-        out = []
-        for ws in words:
-            at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
-            length = self.length[at]
-            ends = np.cumsum(length)
-            n = int(ends[-1]) if len(ws) else 0
-            ids = np.empty(n + 1, np.uint32)
-            ids[:n] = self.flat[np.repeat(self.start[at] - (ends - length), length) + np.arange(n)]
-            ids[n] = END_ID
-            out.append(ids)
-        return out
+        flat: list[str] = []
+        ends = []
+        for x in texts:
+            flat += words_of(x)
+            flat.append(END)
+            ends.append(len(flat))
+        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        if (at < 0).any():
+            self.learn({flat[i] for i in np.flatnonzero(at < 0).tolist()})
+            at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+            if (at < 0).any():  # the cache was emptied meanwhile
+                self.learn({flat[i] for i in np.flatnonzero(at < 0).tolist()}, keep=True)
+                at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        length = self.length[at]
+        upto = np.cumsum(length)
+        ids = self.flat[np.repeat(self.start[at] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
+        return np.split(ids, upto[np.array(ends[:-1], int) - 1]) if texts else []
 
 
 @lru_cache(maxsize=2)
