@@ -1,7 +1,20 @@
+import os
+
+import pytest
+
 import corpus_pipeline
 from siftwell.llm import jaccard, pii
 
 
+@pytest.fixture(scope="module")
+def sf():
+    """The smallest table whose labels are enough to learn a rule from (MIN_COVERED rows on the growing part)."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables here")
+    return path
+
+
 def test_stages_keep_columns_and_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
