@@ -27,7 +27,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -413,6 +413,11 @@ def check(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent
 
 def components(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int = SPARE, chunk: int = CHUNK) -> DataFrame:
     """(doc, k, n, component): a row for each document with a set; doc is NO_ID for a null doc_id."""
+    return labelled(docs, n, percent, spare, chunk).select("doc", "k", "n", "component")
+
+
+def labelled(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int = SPARE, chunk: int = CHUNK) -> DataFrame:
+    """components() with ``comp``, which tells components apart where ``component``, a doc_id, does not."""
     require(docs, "doc_id", "text")
     if not 1 <= percent <= 100 or n < 1 or spare < 0:
         raise ValueError("percent is 1 to 100, n 1 or more, spare 0 or more")
@@ -443,32 +448,51 @@ def components(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int =
     release(docs.sparkSession)
     final = connected(links.unionByName(more), labels)
     named = materialize(final.join(classes.select("k", "doc"), "k"), "join-named")
-    named = named.join(named.groupBy("comp").agg(F.min("doc").alias("component")), "comp").select("k", "component")
-    return own.select(F.col("a").alias("doc"), F.col("b").alias("k"), "n").join(named, "k").select("doc", "k", "n", "component")
+    named = named.join(named.groupBy("comp").agg(F.min("doc").alias("component")), "comp").select("k", "comp", "component")
+    return own.select(F.col("a").alias("doc"), F.col("b").alias("k"), "n").join(named, "k").select("doc", "k", "n", "comp", "component")
+
+
+def wordless() -> Column:
+    """Whether a text has no words, and so no set."""
+    return F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
 
 
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one of the least doc_id (equal rows: any one); all columns stay.
+    """One row of each component, one of the least doc_id (then of the least set key, then the least row); all columns stay.
 
+    Rows are told apart by doc_id and set key, so null and repeated doc_ids lose nothing but near copies.
     Documents without words are linked with nothing and stay.
     """
     require(docs, "doc_id", "text")
-    found = materialize(components(docs, n, percent), "join-kept")
-    gone = found.where(F.col("doc") != F.col("component")).select("doc").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"))
-    kept = rows.join(gone, "doc", "left_anti")
-    repeated = found.groupBy("doc").count().where("count > 1").select("doc")
-    single = kept.join(repeated, "doc", "left_anti").select("row.*")
-    several = kept.join(repeated, "doc", "left_semi").select(F.struct("row").alias("r"), "doc")
-    several = several.groupBy("doc").agg(F.min("r").alias("r")).select("r.row.*")
-    return single.unionByName(several)
+    places = labelled(docs, n, percent).groupBy("doc", "k").agg(F.count("*").alias("rows"), F.min("comp").alias("comp"))
+    places = materialize(places, "join-kept")
+    firsts = places.groupBy("comp").agg(F.min(F.struct("doc", "k")).alias("f")).select("f.doc", "f.k", F.lit(True).alias("first"))
+    firsts = materialize(firsts, "join-firsts")
+    # an id with one row stays or goes by its id; rows of the other ids, and those without one, by their set keys
+    marks = places.where(F.col("doc") != NO_ID).join(firsts, ["doc", "k"], "left").groupBy("doc").agg((F.sum("rows") > 1).alias("repeated"), F.count("first").alias("firsts"))
+    marks = materialize(marks.where("repeated or firsts = 0").select(F.col("doc").alias("doc_id"), "repeated"), "join-marks")
+    worded = docs.where(~wordless())
+    single = worded.where("doc_id is not null").join(marks, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.where(wordless())
+    if marks.where("repeated").isEmpty() and places.where(F.col("doc") == NO_ID).isEmpty():
+        return single.unionByName(rest)
+    several = worded.where("doc_id is not null").join(marks.where("repeated"), "doc_id", "left_semi").select(*docs.columns)
+    several = several.unionByName(worded.where("doc_id is null"))
+
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_key(shingles(t, n)) for t in texts], dtype="int64")
+
+    several = several.select(F.struct("*").alias("r"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), key("text").alias("k"))
+    several = several.groupBy("doc", "k").agg(F.min("r").alias("r")).join(firsts, ["doc", "k"], "left_semi").select("r.*")
+    return single.unionByName(several).unionByName(rest)
 
 
 def op7_jaccard(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = components(docs)
     # documents without words: a set of size 0, alone
-    empty = docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    empty = docs.where(wordless())
     alone = empty.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return found.select(known("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known("component").alias("component_id")).unionByName(alone)

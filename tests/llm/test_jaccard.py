@@ -101,3 +101,14 @@ def test_chains_become_one_component(spark):
     start = spark.range(0, 41).union(spark.range(100, 103)).select(F.col("id").alias("k"), F.col("id").alias("comp"))
     out = {r["k"]: r["comp"] for r in jaccard.connected(links, start).collect()}
     assert all(out[i] == 0 for i in range(41)) and out[101] == 100 and out[102] == 102
+
+
+def test_null_and_repeated_ids_lose_only_near_copies(spark):
+    rng = random.Random(3)
+    a, b, c, d, e, f, g = (" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(7))
+    rows = [(3, a), (None, a + " more"), (None, b), (None, c), (None, c), (None, ""), (None, None), (None, " \n"), (5, a + " too"), (5, d), (5, ""), (7, d + " more"), (7, e), (8, f), (8, f), (9, g), (2, g + " near"), (9, " ")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(4)
+    kept = jaccard.first_of_each(df)
+    assert kept.columns == df.columns
+    want = [(3, a), (None, b), (None, c), (None, ""), (None, None), (None, " \n"), (5, d), (5, ""), (7, e), (8, f), (2, g + " near"), (9, " ")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
