@@ -2,7 +2,8 @@
 
 A tolerant scanner builds the page's tree (void elements, raw text, implied end tags; a cut-off page ends
 where it ends). Structural boilerplate (menus, forms, scripts, asides, elements whose class, id or role says
-advert, comment, cookie and the like) is taken out. For every node that is left, the density is characters
+advert, comment, cookie and the like) is taken out; inside article or main, the class and id of headings and text blocks, and the id of sections,
+are names of the text and take nothing out. For every node that is left, the density is characters
 per tag, adjusted by the share of characters and tags that are links; a node's density sum adds its
 children's densities. The node of the largest sum is the core; the lowest density on its path to the body is the
 threshold; every child along the top whose density reaches it adds its own core. The result is the smallest
@@ -40,7 +41,10 @@ DROP_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|commentlist|disqus|replies|respond|sidebar|side|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|topbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|toolbar|widget\w*|tags|hidden)(?=$|[\s_-])",
     re.I,
 )
-NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute after the other, as the HTML standard splits them: name and quoted or bare value.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Headings and text blocks: inside article or main their class and id say what the text is about.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre dl dt dd li figure figcaption table caption thead tbody tfoot tr td th".split())
 KEPT = frozenset("html body article main".split())
 
 
@@ -48,7 +52,7 @@ class Tree:
     """Nodes in page order: tag, parent, dropped, and their own pieces of text as (node, order) runs."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.gone, self.runs = ["#root"], [-1], [False], []
+        self.tag, self.parent, self.gone, self.within, self.runs = ["#root"], [-1], [False], [False], []
         stack, at, size = [0], 0, len(page)
         while at < size:
             m = TOKEN.search(page, at)
@@ -96,24 +100,27 @@ class Tree:
 
     def open(self, parent: int, name: str, attrs: str) -> int:
         gone = self.gone[parent] or name in DROP
-        if not gone and name == "header" and not self.inside(parent, ("article", "main")):
+        if not gone and name == "header" and not self.within[parent]:
             gone = True
         if not gone and attrs and name not in KEPT:
-            for key, a, b, c in NAMED.findall(attrs):
-                key, value = key.lower(), a or b or c
-                if key in ("class", "id") and DROP_NAME.search(value) or key == "role" and DROP_ROLE.search(value.lower()) or key == "hidden" and value.lower() not in ("false",) or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                    gone = True
+            gone = self.says_boilerplate(name, attrs, self.within[parent])
         self.tag.append(name)
         self.parent.append(parent)
         self.gone.append(gone)
+        self.within.append(self.within[parent] or name in ("article", "main"))
         return len(self.tag) - 1
 
-    def inside(self, node: int, names: tuple[str, ...]) -> bool:
-        while node > 0:
-            if self.tag[node] in names:
-                return True
-            node = self.parent[node]
-        return False
+    @staticmethod
+    def says_boilerplate(name: str, attrs: str, within: bool) -> bool:
+        has: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(attrs):
+            has.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of a name counts
+        names = [] if within and name in TEXT else ["class"] if within and name == "section" else ["class", "id"]
+        if any(DROP_NAME.search(has.get(x, "")) for x in names) or DROP_ROLE.search(has.get("role", "").lower()):
+            return True
+        if has.get("hidden", "false").lower() != "false" or has.get("aria-hidden", "").lower() == "true":
+            return True
+        return bool(re.search(r"display\s*:\s*none", has.get("style", ""), re.I))
 
     def close(self, stack: list[int], k: int) -> None:
         if any(self.tag[i] in BLOCK for i in stack[k:]):

@@ -27,3 +27,13 @@ def test_frame(spark):
     out = {r["page_id"]: r for r in extract(df).collect()}
     assert out[1]["n_chars"] == 0 and out[2]["text"] == "" and out[None]["n_chars"] == len(main_text(PAGE))
     assert extract(df.limit(0)).count() == 0
+
+
+def test_attribute_values_and_slugs_keep_the_article():
+    parts = ['<p>See <a href="/the-hidden-city.html" title="A hidden gem">the city</a> {long}</p>', '<p data-id="comments" data-role="navigation" data-class="ad" alt=\'a hidden id="ads" one\'>Data {long}</p>', '<h2 id="related-work">Related work</h2>', '<h2 id=notice class="share">Notice</h2>', '<section id="social-life"><p class="notice">Social {long}</p></section>']
+    body = "".join(parts).replace("{long}", LONG)
+    gone = "".join(f"<div {x}>Gone {LONG}</div>" for x in ("hidden", "HIDDEN=''", "data-x='1'hidden", 'class="comments"', "id=related", "aria-hidden=true", "role=navigation", 'title="x" style="display: none"', 'class="ad" class="text"'))
+    want = ["See the city " + LONG.strip(), "Data " + LONG.strip(), "Related work", "Notice", "Social " + LONG.strip()]
+    for top in ("article", "main"):
+        assert main_text(f"<body><{top}>{body}{gone}<section class=related>Gone {LONG}</section><h2 hidden>Gone</h2></{top}><h2 id=related>Gone</h2></body>").split("\n\n") == want
+    assert main_text('<div class="text" class="ad">stays</div>') == main_text("<div hidden=false>stays</div>") == "stays"
