@@ -17,7 +17,7 @@ one row for each anchor, or for each window where an anchor has several factors;
 documents share arrives as one row for each chunk, not for each document.
 
 Defined cases: a null text has no words; texts of under WINDOW words lose none; a null doc_id comes first;
-rows of one doc_id are separate documents in the order of crc32(text) mod 2^16, and equal rows count as one, so
+rows of one doc_id are separate documents in the order of a 64-bit hash of the text, and equal rows count as one, so
 that no row is a copy of itself; an empty table gives an empty result; other columns are kept by
 ``remove_duplicates`` and ignored by ``digests``.
 """
@@ -25,7 +25,6 @@ that no row is a copy of itself; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import hashlib
-import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -47,7 +46,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 NO_ID = -(1 << 63)
 MARK, FACTOR, SEVERAL, PIECE = 0, 1, 2, 3
-ROWS = "kind tinyint, a long, b long, doc long, at long, n int"
+ROWS = "kind tinyint, a long, b long, doc long, tie long, at long, n int"
 
 
 class _Hashes(dict):
@@ -113,9 +112,14 @@ class _Out:
     def __init__(self):
         self.parts: list[tuple] = []
 
-    def add(self, kind, a, b, doc, at, n):
+    def add(self, kind, a, b, doc, tie, at, n):
         if len(doc):
-            self.parts.append((np.full(len(doc), kind, np.int8), a, b, doc, at, np.broadcast_to(np.asarray(n, np.int32), (len(doc),))))
+            self.parts.append((np.full(len(doc), kind, np.int8), a, b, doc, tie, at, np.broadcast_to(np.asarray(n, np.int32), (len(doc),))))
+
+    def mark(self, doc, tie, at, n):
+        """Words that go: of a mark only the place is read."""
+        none = np.zeros(len(doc), np.int64)
+        self.add(MARK, none, none, doc, tie, at, n)
 
     def batches(self):
         import pyarrow as pa
@@ -124,26 +128,26 @@ class _Out:
             cols = [np.concatenate(c) for c in zip(*self.parts)]
             self.parts = []
             for lo in range(0, len(cols[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in cols], names=["kind", "a", "b", "doc", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in cols], names=["kind", "a", "b", "doc", "tie", "at", "n"])
 
 
-def _firsts(a, b, doc, at):
-    """Order of rows by (a, b, doc, at); in it: starts of groups (a, b), and rows that repeat a group's first place."""
-    order = np.lexsort((at, doc, b, a))
-    a, b, doc, at = a[order], b[order], doc[order], at[order]
+def _firsts(a, b, doc, tie, at):
+    """Order of rows by (a, b, doc, tie, at); in it: starts of groups (a, b), and rows that repeat a group's first place."""
+    order = np.lexsort((at, tie, doc, b, a))
+    a, b, doc, tie, at = a[order], b[order], doc[order], tie[order], at[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order, new, (doc == doc[lead]) & (at == at[lead])
+    return order, new, (doc == doc[lead]) & (tie == tie[lead]) & (at == at[lead])
 
 
-def _windows(out: _Out, a, whash, doc, at) -> None:
+def _windows(out: _Out, a, whash, doc, tie, at) -> None:
     """Windows held here: losers are marked, the first of each is sent on."""
-    order, new, same = _firsts(a, whash, doc, at)
+    order, new, same = _firsts(a, whash, doc, tie, at)
     first = order[new]
-    out.add(PIECE, a[first], whash[first], doc[first], at[first], WINDOW)
+    out.add(PIECE, a[first], whash[first], doc[first], tie[first], at[first], WINDOW)
     lost = order[~same]
-    out.add(MARK, a[lost], whash[lost], doc[lost], at[lost], WINDOW)
+    out.mark(doc[lost], tie[lost], at[lost], WINDOW)
 
 
 class _Parse:
@@ -156,14 +160,13 @@ class _Parse:
         self.reset()
         out = _Out()
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, tie, text in zip(*(c.to_pylist() for c in b.columns)):
                 words = words_of(text)
                 if len(words) < WINDOW:
                     continue
                 p = Prefixes(word_hashes(words))
                 anchor, content, first, last = factors(p)
-                tie = (zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0xFFFF) << 32
-                self.held.append((anchor, content, np.full(len(anchor), NO_ID if doc is None else doc), first + tie, last - first, np.full(len(anchor), len(self.texts))))
+                self.held.append((anchor, content, np.full(len(anchor), doc), np.full(len(anchor), tie), first, last - first, np.full(len(anchor), len(self.texts))))
                 self.texts.append(p)
                 self.count += len(anchor)
                 if self.count >= self.chunk:
@@ -177,23 +180,23 @@ class _Parse:
         self.held, self.texts, self.count = [], [], 0
 
     def flush(self, out: _Out) -> None:
-        a, b, doc, at, more, text = (np.concatenate(c) for c in zip(*self.held))
+        a, b, doc, tie, at, more, text = (np.concatenate(c) for c in zip(*self.held))
         texts = self.texts
         self.reset()
         a, b = _signed(a), _signed(b)
-        order, new, same = _firsts(a, b, doc, at)
+        order, new, same = _firsts(a, b, doc, tie, at)
         lost = order[~same]
-        out.add(MARK, a[lost], b[lost], doc[lost], at[lost], more[lost] + WINDOW)
+        out.mark(doc[lost], tie[lost], at[lost], more[lost] + WINDOW)
         first = order[new]
         sa = a[first]
         several = np.zeros(len(first), bool)
         several[1:] |= sa[1:] == sa[:-1]
         several[:-1] |= sa[1:] == sa[:-1]
         one, many = first[~several], first[several]
-        out.add(FACTOR, a[one], b[one], doc[one], at[one], more[one])
+        out.add(FACTOR, a[one], b[one], doc[one], tie[one], at[one], more[one])
         if len(many):
             keys, lead = np.unique(a[many], return_index=True)
-            out.add(SEVERAL, keys, np.zeros_like(keys), doc[many[lead]], at[many[lead]], 0)
+            out.add(SEVERAL, keys, np.zeros_like(keys), doc[many[lead]], tie[many[lead]], at[many[lead]], 0)
             sizes = more[many] + 1
             row = np.repeat(many, sizes)
             step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -204,8 +207,8 @@ class _Parse:
             cuts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             for lo, hi in zip(cuts, [*cuts[1:], len(t)]):
                 own = by_text[lo:hi]
-                whash[own] = texts[t[lo]].runs(place[own] & 0xFFFFFFFF, WINDOW)
-            _windows(out, a[row], _signed(whash), doc[row], place)
+                whash[own] = texts[t[lo]].runs(place[own], WINDOW)
+            _windows(out, a[row], _signed(whash), doc[row], tie[row], place)
 
 
 class _Expand:
@@ -217,13 +220,13 @@ class _Expand:
     def __call__(self, batches):
         out, held, count = _Out(), [], 0
         for b in batches:
-            for doc, text, asked in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, tie, text, asked in zip(*(c.to_pylist() for c in b.columns)):
                 p = Prefixes(word_hashes(words_of(text)))
                 a = np.array([x["a"] for x in asked], np.int64)
                 at = np.array([x["at"] for x in asked], np.int64)
                 sizes = np.array([x["n"] for x in asked], np.int64) + 1
                 place = np.repeat(at, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                held.append((np.repeat(a, sizes), _signed(p.runs(place & 0xFFFFFFFF, WINDOW)), np.full(len(place), NO_ID if doc is None else doc), place))
+                held.append((np.repeat(a, sizes), _signed(p.runs(place, WINDOW)), np.full(len(place), doc), np.full(len(place), tie), place))
                 count += len(place)
                 if count >= self.chunk:
                     _windows(out, *(np.concatenate(c) for c in zip(*held)))
@@ -235,31 +238,30 @@ class _Expand:
 
 
 def _keyed(docs: DataFrame, *more) -> DataFrame:
-    tie = F.crc32(F.encode("text", "UTF-8")).bitwiseAND(F.lit(0xFFFF))
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), tie.alias("tie"), *more)
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tie"), *more)
 
 
 def duplicate_spans(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc, tie, spans): for each document with duplicates, the array of (start word, words) that go."""
-    parsed = materialize(docs.select("doc_id", "text").mapInArrow(_Parse(chunk), ROWS), "rlz-factors")
+    parsed = materialize(_keyed(docs, "text").mapInArrow(_Parse(chunk), ROWS), "rlz-factors")
     blocks = parsed.where(F.col("kind").isin(FACTOR, SEVERAL)).repartition("a")
-    copies = F.rank().over(W.partitionBy("a", "b", "kind").orderBy("doc", "at"))
+    copies = F.rank().over(W.partitionBy("a", "b", "kind").orderBy("doc", "tie", "at"))
     block = W.partitionBy("a")
     mixed_block = (F.min("b").over(block) != F.max("b").over(block)) | (F.max("kind").over(block) == SEVERAL)
     judged = blocks.withColumn("copy", copies).withColumn("several", mixed_block)
     judged = judged.where((F.col("kind") == FACTOR) & ((F.col("copy") > 1) | F.col("several")))
-    judged = materialize(judged.select("a", "doc", "at", "n", "copy"), "rlz-judged")
-    ask = judged.where("copy = 1").groupBy("doc", F.shiftright("at", 32).alias("tie")).agg(F.collect_list(F.struct("a", "at", "n")).alias("asked"))
-    asked = _keyed(docs, "doc_id", "text").join(ask, ["doc", "tie"]).select("doc_id", "text", "asked")
+    judged = materialize(judged.select("a", "doc", "tie", "at", "n", "copy"), "rlz-judged")
+    ask = judged.where("copy = 1").groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "at", "n")).alias("asked"))
+    asked = _keyed(docs, "text").join(ask, ["doc", "tie"]).select("doc", "tie", "text", "asked")
     expanded = materialize(asked.mapInArrow(_Expand(chunk), ROWS), "rlz-windows")
     pieces = parsed.where(F.col("kind") == PIECE).unionByName(expanded.where(F.col("kind") == PIECE))
-    lost = pieces.withColumn("copy", F.rank().over(W.partitionBy("a", "b").orderBy("doc", "at"))).where("copy > 1")
-    spans = lost.select("doc", "at", F.lit(WINDOW).alias("n"))
+    lost = pieces.withColumn("copy", F.rank().over(W.partitionBy("a", "b").orderBy("doc", "tie", "at"))).where("copy > 1")
+    spans = lost.select("doc", "tie", "at", F.lit(WINDOW).alias("n"))
     for more in (parsed, expanded):
-        spans = spans.unionByName(more.where(F.col("kind") == MARK).select("doc", "at", "n"))
-    spans = spans.unionByName(judged.where("copy > 1").select("doc", "at", (F.col("n") + WINDOW).alias("n")))
-    place = F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), F.col("n").cast("int").alias("words"))
-    return materialize(spans.groupBy("doc", F.shiftright("at", 32).alias("tie")).agg(F.collect_set(place).alias("spans")), "rlz-spans")
+        spans = spans.unionByName(more.where(F.col("kind") == MARK).select("doc", "tie", "at", "n"))
+    spans = spans.unionByName(judged.where("copy > 1").select("doc", "tie", "at", (F.col("n") + WINDOW).alias("n")))
+    place = F.struct(F.col("at").cast("int").alias("start"), F.col("n").cast("int").alias("words"))
+    return materialize(spans.groupBy("doc", "tie").agg(F.collect_set(place).alias("spans")), "rlz-spans")
 
 
 def kept_words(text: str | None, spans) -> tuple[list[str], int]:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -57,3 +58,22 @@ def test_odd_rows(docs, none):
     clean = rlz.remove_duplicates(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
     assert rlz.digests(none).count() == 0
+
+
+def test_texts_of_one_id_whose_short_checksums_are_equal(spark):
+    rng = random.Random(9)
+    held, pair = {}, None
+    shared = " ".join(f"s{i}" for i in range(40))
+    while not pair:  # two texts of different length, both with the passage, whose crc32 are equal mod 2^16
+        text = " ".join([*(f"u{rng.randrange(1 << 30)}" for _ in range(rng.choice((2, 90)))), shared])
+        other = held.setdefault(zlib.crc32(text.encode()) & 0xFFFF, text)
+        if len(other.split()) != len(text.split()):
+            pair = [other, text]
+    for doc in (None, 5):
+        rows = [(doc, t) for t in [*pair, pair[0]]] + [(9, shared + " end")]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        kept = sorted(r["text"] for r in rlz.remove_duplicates(df).collect())
+        cut = [t.removesuffix(" " + shared) for t in pair]
+        # one of the two texts keeps the passage; equal rows count as one
+        assert kept in (sorted([pair[0], cut[1], pair[0], "end"]), sorted([cut[0], pair[1], cut[0], "end"]))
+        assert sorted(r["n_removed"] for r in rlz.digests(df).collect()) in ([0, 0, 40, 40], [0, 40, 40, 40])
