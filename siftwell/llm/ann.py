@@ -4,7 +4,8 @@ Centroids are fitted by balanced bisection on a bounded sample; every valid row
 nearest centroid and, if it lies near a boundary, on further lists (distance ratio and the rule that a list is
 skipped if a list already taken is nearer to its centroid). Long lists, such as one of exact copies, are split
 into parts of bounded size by a hash of the id. A query walks a graph of the centroids in memory and takes
-the lists whose centroids lie within a ratio of the nearest's distance; each part of each list gives its best
+the lists whose centroids lie within a ratio of the distance of the nearest that it does not equal, and further
+lists until they hold enough rows for ``k`` neighbours; each part of each list gives its best
 ``k`` by exact double-precision distance, and these are merged.
 
 Bounds: the sample holds at most ``SAMPLE_FLOATS`` numbers and there are at most ``MAX_CENTROIDS`` centroids,
@@ -40,6 +41,8 @@ APART = 0.5
 #: The probe ratio is measured on the sample so that this share of true neighbours lies on the probed lists.
 RECALL = 0.95
 MEASURED = 128
+#: A query equals a centroid if they lie no further apart than this share of its length.
+EQUAL = 1e-9
 DEGREE = 24
 
 
@@ -106,6 +109,7 @@ class Index:
             links[i + 1].add(i)
         self.links = [np.fromiter(s - {i}, int) for i, s in enumerate(links)]
         self.ratio = 1.0
+        self.sizes, self.least = np.zeros(k, np.int64), 0  # rows of each list, and how many rows a query is to meet
         self.entries = np.unique(np.linspace(0, k - 1, min(k, 8)).astype(int))
 
     def distances(self, v: np.ndarray) -> np.ndarray:
@@ -130,37 +134,47 @@ class Index:
         return out
 
     def search(self, q: np.ndarray) -> list[int]:
-        """Lists for a query: best-first walk over the graph as far as the distance ratio reaches."""
+        """Lists for a query: best-first walk over the graph as far as the distance ratio reaches, and until enough rows are met."""
         seen = set(map(int, self.entries))
         d = np.sqrt(((self.c[self.entries] - q) ** 2).sum(1))
         heap = [(float(a), int(i)) for a, i in zip(d, self.entries)]
         heapq.heapify(heap)
-        found, first, late = [], math.inf, 0
+        found, first, late, met, equal = [], math.inf, 0, 0, EQUAL * math.sqrt(q @ q)
         while heap:
             a, i = heapq.heappop(heap)
-            first = min(first, a)
-            if a > first * self.ratio:
+            if a > equal:
+                first = min(first, a)
+            if a > first * self.ratio and met >= self.least:
                 late += 1
                 if late > DEGREE:  # walk on a little: nearer centroids may lie behind
                     break
             else:
                 found.append((a, i))
+                met += int(self.sizes[i])
             new = [j for j in self.links[i].tolist() if j not in seen]
             if new:
                 seen.update(new)
                 for b, j in zip(np.sqrt(((self.c[new] - q) ** 2).sum(1)).tolist(), new):
                     heapq.heappush(heap, (b, j))
-        return [i for a, i in sorted(found) if a <= first * self.ratio]
+        took, met = [], 0
+        for a, i in sorted(found):
+            if a > first * self.ratio and met >= self.least:
+                break
+            took.append(i)
+            met += int(self.sizes[i])
+        return took
 
     def measure(self, x: np.ndarray) -> None:
-        """Set the probe ratio from the sample's own neighbours."""
-        queries = x[np.linspace(0, len(x) - 1, min(MEASURED, len(x))).astype(int)]
+        """Set the probe ratio from the neighbours of the sample's distinct vectors: copies are always on the nearest list."""
+        x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]
         needed = []
-        for q, d in zip(queries, self.distances(queries)):
+        for q in x[np.linspace(0, len(x) - 1, min(MEASURED, len(x))).astype(int)]:
             s = ((x - q) ** 2).sum(1)
             near = x[np.argsort(s, kind="stable")[1:11]]
-            if len(near):
-                needed += [d[lists].min() / max(d.min(), 1e-12) for lists in self.lists_of(near)]
+            d = np.sqrt(((self.c - q) ** 2).sum(1))
+            apart = d[d > EQUAL * math.sqrt(q @ q)]
+            if len(near) and len(apart):
+                needed += [max(1.0, d[lists].min() / apart.min()) for lists in self.lists_of(near)]
         self.ratio = float(np.quantile(needed, RECALL, method="higher")) * (1 + 1e-9) if needed else 1.0
 
 
@@ -275,15 +289,19 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     shared = spark.sparkContext.broadcast(index)
     schema = "list int, vec_id long, embedding array<float>"
     lists = materialize(rows.where(F.size("embedding") == d).mapInArrow(_Assign(shared, False), schema), "ann-lists")
-    parts = lists.groupBy("list").count().select("list", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
-    sizes = {r["list"]: r["parts"] for r in parts.where("parts > 1").collect()}  # at most MAX_CENTROIDS rows
+    counts = {r["list"]: r["count"] for r in lists.groupBy("list").count().collect()}  # at most MAX_CENTROIDS rows
+    sizes = {i: -(-c // PART_ROWS) for i, c in counts.items() if c > PART_ROWS}
+    for i, c in counts.items():
+        index.sizes[i] = c
+    index.least = REPLICAS * (k + 1)  # a row is on REPLICAS lists at most, and one may be the query itself
+    probing = spark.sparkContext.broadcast(index)
     n_parts = F.lit(1)
     if sizes:
         n_parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv]), F.col("list")), F.lit(1))
     one = F.pmod(F.xxhash64("vec_id"), n_parts.cast("long"))
     wide = F.col("list").cast("long") * F.lit(1 << 32)
     held = lists.select((wide + one).alias("part"), F.lit(False).alias("query"), "vec_id", "embedding")
-    asked = valid(queries).where(F.size("embedding") == d).mapInArrow(_Assign(shared, True), schema)
+    asked = valid(queries).where(F.size("embedding") == d).mapInArrow(_Assign(probing, True), schema)
     asked = asked.select("list", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("p"))
     asked = asked.select((wide + F.col("p").cast("long")).alias("part"), F.lit(True).alias("query"), "vec_id", "embedding")
     work = held.unionByName(asked).repartition("part").sortWithinPartitions("part", "query")

@@ -39,3 +39,30 @@ def test_recall_copies_and_ties(spark, monkeypatch):
     hit = sum(len({i for i, _ in brute(x.astype(float), list(range(3000)), q, 10)} & set(by[q].values())) for q in range(0, 3000, 100))
     assert hit >= 0.9 * 300 and all(len(v) == 10 for v in by.values())
     assert [by[1500][k] for k in range(1, 11)] == list(range(1000, 1010))
+
+
+def test_queries_without_copies_among_many_copies():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(80, 16))
+    single = rng.normal(size=(400, 16))
+    x = np.concatenate([np.repeat(base, 45, axis=0), single])[rng.permutation(4000)]
+    index = ann.Index(ann.bisect(x, 32))
+    index.measure(x)
+    lists = index.lists_of(x)
+    u = np.unique(x, axis=0)
+    at = {v.tobytes(): set(took) for v, took in zip(x, lists)}
+    hit = []
+    for q in single[:100]:
+        near = u[np.argsort(((u - q) ** 2).sum(1), kind="stable")[1:11]]
+        probed = set(index.search(q))
+        hit.append(np.mean([bool(at[v.tobytes()] & probed) for v in near]))
+    assert index.ratio > 1.01 and np.mean(hit) >= 0.85
+
+
+def test_probes_on_until_there_are_enough_rows():
+    index = ann.Index(np.array([[1.0, 0], [2, 0], [4, 0], [8, 0], [16, 0]]))
+    index.sizes[:] = [1, 3, 3, 3, 30]
+    index.least = 7
+    assert index.search(np.array([1.0, 0])) == [0, 1, 2]
+    index.least = 40
+    assert index.search(np.array([1.1, 0])) == [0, 1, 2, 3, 4]
