@@ -12,7 +12,7 @@ Bounds: the sample holds at most ``SAMPLE_FLOATS`` numbers and there are at most
 which is what is broadcast; a task holds one part of a list (``PART_ROWS`` rows) and a batch of queries.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or are of another
-length than most of the sample take no part, neither as queries nor as candidates; null ids take no part;
+length than the most frequent (the shorter of several) take no part, neither as queries nor as candidates; null ids take no part;
 repeated ids count once, at their nearest row; ties go to the smaller id; an empty table gives an empty
 result; with few rows there is one list, and the search is exact.
 """
@@ -178,12 +178,12 @@ class Index:
         self.ratio = float(np.quantile(needed, RECALL, method="higher")) * (1 + 1e-9) if needed else 1.0
 
 
-def fit(vectors: DataFrame, n: int) -> Index | None:
-    """Centroids from a sample of bounded size, taken by a hash of the id."""
-    first = vectors.select(F.size("embedding").alias("d")).limit(1000).groupBy("d").count().orderBy(F.desc("count"), "d").take(1)
+def fit(vectors: DataFrame) -> Index | None:
+    """Centroids for the most frequent length, from a sample of bounded size, taken by a hash of the id."""
+    first = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").take(1)
     if not first:
         return None
-    d = first[0]["d"]
+    d, n = first[0]["d"], first[0]["count"]
     rows = max(1000, SAMPLE_FLOATS // d)
     share = min(1.0, rows / n)
     pick = vectors.where(F.size("embedding") == d)
@@ -281,8 +281,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     require(vectors, "vec_id", "embedding")
     spark = vectors.sparkSession
     rows = valid(vectors)
-    n = rows.count()
-    index = fit(rows, n) if n else None
+    index = fit(rows)
     if index is None:
         return spark.createDataFrame([], EMPTY)
     d = index.c.shape[1]

@@ -66,3 +66,10 @@ def test_probes_on_until_there_are_enough_rows():
     assert index.search(np.array([1.0, 0])) == [0, 1, 2]
     index.least = 40
     assert index.search(np.array([1.1, 0])) == [0, 1, 2, 3, 4]
+
+
+def test_length_is_that_of_most_rows(spark):
+    rows = [(i, [1.0 + i, 2.0]) for i in range(1200)] + [(i, [1.0 + i, 2.0, 3.0]) for i in range(1200, 3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    out = ann.search(df.where("vec_id in (5, 2000)"), df, 2).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in out} == {(2000, 1999), (2000, 2001)}
