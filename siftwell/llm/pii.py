@@ -8,7 +8,7 @@ password, token and like cues) and url (addresses that carry a user's name and p
 
 Defined cases: a null or empty text has no spans; a null doc_id is kept; repeated rows are judged one by one;
 an empty table gives an empty result; other columns are ignored by find_pii and kept by redact. Time is linear
-in the text: runs between anchors of a kind are read once.
+in the text: runs between anchors of a kind are read once, values that turn out to be no secret included.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ DIGITS = re.compile(r"[0-9]+")
 
 ADDED_KINDS = ("iban", "secret", "url")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{8,})")
+ASSIGNED = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?")
+SECRET = re.compile(r"[^\s\"',;]+")
+MIN_SECRET = 8
 CREDENTIALS = re.compile(r"[^\s/@:]{1,64}:[^\s/@]{1,64}@[A-Za-z0-9.-]+(?::[0-9]+)?")
 CUES = ("password", "passwd", "token", "secret", "api_key", "apikey", "access_key")
 
@@ -72,7 +74,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE_KINDS + ADDED_KINDS}
     if not text:
         return found
-    email_from = ip_from = card_from = phone_from = secret_from = url_from = iban_from = 0
+    email_from = ip_from = card_from = phone_from = secret_from = plain_to = url_from = iban_from = 0
     for end, what in automaton().iter(text):
         if what == "d":
             if end >= ip_from:
@@ -108,9 +110,13 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 if 8 <= sum(map(str.isdigit, m[0])) <= 15:
                     found["phone"].append(m.span())
         elif what == "s":
-            if end >= secret_from and (m := SECRET.match(text, end + 1)) and any(map(str.isdigit, m[1])):
-                secret_from = m.end(1)
-                found["secret"].append(m.span(1))
+            # a run without digits is read once: values that begin further on in it hold none either
+            if end >= secret_from and (m := ASSIGNED.match(text, end + 1)) and m.end() >= plain_to and (m := SECRET.match(text, m.end())):
+                if not any(map(str.isdigit, m[0])):
+                    plain_to = m.end()
+                elif m.end() - m.start() >= MIN_SECRET:
+                    secret_from = m.end()
+                    found["secret"].append(m.span())
         elif end >= url_from and (m := CREDENTIALS.match(text, end + 1)):
             start = end - 2
             while start > url_from and text[start - 1].isascii() and text[start - 1].isalnum():

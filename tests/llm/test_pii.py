@@ -49,3 +49,17 @@ def test_frame(docs, none):
     clean = pii.redact(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
     assert "<CARD>" in clean.where("doc_id = 54").first()["text"]
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    for text in ("token=" * 170_000, "password: " + "token=a" * 140_000, "1-" * 500_000, "+1(" * 330_000, "a@" * 500_000, "://a:" * 200_000):
+        began = time.process_time()
+        pii.find_spans(text)
+        assert time.process_time() - began < 5, text[:30]
+
+
+def test_a_secret_behind_a_plain_value_is_found():
+    text = "token=aaaatoken: bbbb1234 token=abcdefghtoken=abcdefg1"
+    assert [text[a:b] for a, b in pii.find_spans(text)["secret"]] == ["bbbb1234", "abcdefghtoken=abcdefg1"]
