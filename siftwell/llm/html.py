@@ -17,6 +17,7 @@ Time and memory are linear in the page: the tree is arrays in page order, read w
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from html import unescape
@@ -46,6 +47,9 @@ ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 #: Headings and text blocks: inside article or main their class and id say what the text is about.
 TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre dl dt dd li figure figcaption table caption thead tbody tfoot tr td th".split())
 KEPT = frozenset("html body article main".split())
+#: Elements at which the search for one to end may stop.
+MARKS = SCOPE.union(*ENDS.values())
+STOPS = BLOCK | {"button"}
 
 
 class Tree:
@@ -54,6 +58,10 @@ class Tree:
     def __init__(self, page: str):
         self.tag, self.parent, self.gone, self.within, self.runs = ["#root"], [-1], [False], [False], []
         stack, at, size = [0], 0, len(page)
+        # open elements by name, and the places on the stack of open marks and stops, so that no search reads the whole stack
+        self.count: dict[str, int] = {}
+        self.marks: list[int] = []
+        self.stops: list[int] = []
         while at < size:
             m = TOKEN.search(page, at)
             if not m:
@@ -72,13 +80,14 @@ class Tree:
                 end = page.find(">", at)
                 at = size if end < 0 else end + 1
             if m[1]:
-                if name == "br" or name == "p" and "p" not in (self.tag[i] for i in stack):
+                if name == "br" or name == "p" and not self.count.get("p"):
                     self.runs.append((stack[-1], None if name == "p" else " "))
                     continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        self.close(stack, k)
-                        break
+                if self.count.get(name):
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != name:
+                        k -= 1
+                    self.close(stack, k)
                 continue
             self.imply(stack, name)
             if name in VOID:
@@ -93,6 +102,11 @@ class Tree:
             if name in BLOCK:
                 self.runs.append((node, None))
             if not m[3].rstrip().endswith("/") or name in BLOCK:
+                self.count[name] = self.count.get(name, 0) + 1
+                if name in MARKS:
+                    self.marks.append(len(stack))
+                if name in STOPS:
+                    self.stops.append(len(stack))
                 stack.append(node)
 
     def text(self, node: int, s: str) -> None:
@@ -125,19 +139,19 @@ class Tree:
     def close(self, stack: list[int], k: int) -> None:
         if any(self.tag[i] in BLOCK for i in stack[k:]):
             self.runs.append((stack[k - 1], None))
+        for i in stack[k:]:
+            self.count[self.tag[i]] -= 1
+        for places in (self.marks, self.stops):
+            while places and places[-1] >= k:
+                places.pop()
         del stack[k:]
 
     def imply(self, stack: list[int], name: str) -> None:
-        if name in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[k]]
-                if t == "p":
-                    self.close(stack, k)
-                    break
-                if t in BLOCK or t == "button":
-                    break
+        if name in BLOCK and self.stops and self.tag[stack[self.stops[-1]]] == "p":
+            self.close(stack, self.stops[-1])
         if name in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
+            for i in range(len(self.marks) - 1, -1, -1):
+                k = self.marks[i]
                 t = self.tag[stack[k]]
                 if t in ENDS[name]:
                     self.close(stack, k)
@@ -204,12 +218,14 @@ class Tree:
 
     def common(self, nodes: set[int]) -> int:
         """Lowest node above all of them; nodes are in page order, so the largest goes up first."""
-        nodes = set(nodes)
-        while len(nodes) > 1:
-            i = max(nodes)
-            nodes.remove(i)
-            nodes.add(self.parent[i])
-        return nodes.pop()
+        known, heap = set(nodes), [-i for i in nodes]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            p = self.parent[-heapq.heappop(heap)]
+            if p not in known:
+                known.add(p)
+                heapq.heappush(heap, -p)
+        return -heap[0]
 
     def blocks(self, top: int) -> list[str]:
         kept = [False] * len(self.tag)

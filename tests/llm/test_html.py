@@ -37,3 +37,13 @@ def test_attribute_values_and_slugs_keep_the_article():
     for top in ("article", "main"):
         assert main_text(f"<body><{top}>{body}{gone}<section class=related>Gone {LONG}</section><h2 hidden>Gone</h2></{top}><h2 id=related>Gone</h2></body>").split("\n\n") == want
     assert main_text('<div class="text" class="ad">stays</div>') == main_text("<div hidden=false>stays</div>") == "stays"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    pages = ["<div>" * 40000 + "</p></span>" * 40000, "<b>" * 40000 + "<div></div>" * 40000, "<p><button>" + "<b>" * 40000 + "<div></div>" * 40000, "<div>" * 40000 + "<li></li>" * 40000, "<div>word word</div>" * 40000]
+    for page in pages:
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 5, page[:30]
