@@ -27,15 +27,17 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialize, require, table, words_of
+from siftwell.llm.common import materialize, require, table
 
 MAGIC = b"SWR1"
 BITS = 18
@@ -43,9 +45,9 @@ LANES = 64
 STEPS = 1024
 SECTION = 2_000_000
 END_ID = 1
-#: Words, and parts of words, whose ids a worker keeps; beyond it they are forgotten.
-CACHE = 700_000
-#: Words given to the library in one call's text.
+#: Parts of words whose ids a worker keeps; beyond it they are forgotten.
+CACHE = 500_000
+#: Parts given to the library in one call's text.
 JOINED = 64
 #: ASCII symbols that the split pattern keeps apart from letters before them (no apostrophe: it may begin a contraction).
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -53,17 +55,17 @@ LOW = np.uint64(1 << 31)
 U32 = np.uint64(32)
 
 
-#: Stands for the end of a text; no word holds a space.
-END = " "
-
-
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        return -1
+def stays_letters(s: str) -> bool:
+    """Whether all are letters once the library has composed and lower-cased them; marks would end a piece inside."""
+    return s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha())
 
 
 class Words:
-    """Ids of words by the tokenizer's own library, one call for each batch's new words."""
+    """Ids of texts by the tokenizer's own library, which sees each part of a word that a worker meets once.
+
+    Words are split and told apart by Arrow; letters and the symbols behind them are encoded apart, any other word goes as
+    it is.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,80 +77,96 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.number = _Numbers({END: 0})
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 1
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat[0], self.length[0] = END_ID, 1
-        self.parts: dict[str, tuple[int, ...]] = {}
 
-    @staticmethod
-    def split(word: str) -> tuple[str, ...]:
-        """Letters and the symbols behind them are encoded apart; any other word goes as it is."""
-        head = word.rstrip(TAIL)
-        if not head.isalpha():
-            return (word,)
-        tail = word[len(head) :]
-        head = head.lower() if head.isascii() else head
-        return (head, tail) if tail else (head,)
-
-    def learn_parts(self, new: list[str]) -> None:
-        """One call for all; words of letters are joined by spaces, of which each is one pre-token."""
-        letters, others = [], []
-        for x in new:
-            (letters if x.isalpha() else others).append(x)
+    def ids_of(self, new: list[str]) -> list[list[int]]:
+        """One call for all; parts of letters are joined by spaces, of which each is one pre-token."""
+        found: list = [None] * len(new)
+        letters = [i for i, x in enumerate(new) if stays_letters(x)]
         groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join([new[i] for i in g]) for g in groups], add_special_tokens=False)):
             ids, at = e.ids, e.word_ids
             cuts = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1]), len(at)]
             if len(cuts) == len(group) + 1:
-                for x, lo, hi in zip(group, cuts, cuts[1:]):
-                    self.parts[x] = tuple(ids[lo:hi])
-            else:
-                others += group
-        for x, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.parts[x] = tuple(e.ids)
-
-    def learn(self, words: set[str], keep: bool = False) -> None:
-        if not keep and (len(self.number) > CACHE or len(self.parts) > CACHE):
-            self.forget()
-        number, parts = self.number, self.parts
-        new = [w for w in words if w not in number]
-        if not new:
-            return
-        split = list(map(self.split, new))
-        self.learn_parts(list({x for ps in split for x in ps if x not in parts}))
-        ids = [parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]] for ps in split]
-        n, lengths = len(number), np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(new) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.start[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + len(new)] = lengths
-        self.used += total
-        number.update(zip(new, range(n, n + len(new))))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, with the end id."""
-        flat: list[str] = []
-        ends = []
-        for x in texts:
-            flat += words_of(x)
-            flat.append(END)
-            ends.append(len(flat))
-        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        if (at < 0).any():
-            self.learn({flat[i] for i in np.flatnonzero(at < 0).tolist()})
-            at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-            if (at < 0).any():  # the cache was emptied meanwhile
-                self.learn({flat[i] for i in np.flatnonzero(at < 0).tolist()}, keep=True)
-                at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+                for i, lo, hi in zip(group, cuts, cuts[1:]):
+                    found[i] = ids[lo:hi]
+        others = [i for i, x in enumerate(found) if x is None]
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([new[i] for i in others], add_special_tokens=False)):
+            found[i] = e.ids
+        return found
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """Places of the parts in ``start`` and ``length``; unknown ones are learnt."""
+        at = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
+        if (unknown := np.flatnonzero(at < 0)).size:
+            new = list(dict.fromkeys([parts[i] for i in unknown.tolist()]))
+            ids = self.ids_of(new)
+            n, lengths = len(self.number), np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(lengths.sum())
+            while self.used + total > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while n + len(new) > len(self.start):
+                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self.start[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
+            self.length[n : n + len(new)] = lengths
+            self.used += total
+            self.number.update(zip(new, range(n, n + len(new))))
+            at[unknown] = [self.number[parts[i]] for i in unknown.tolist()]
+        return at
+
+    def split(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the head and the tail of each of an Arrow array's words; the empty part has place 0."""
+        import pyarrow.compute as pc
+
+        heads = pc.utf8_rtrim(words, characters=TAIL)
+        plain = pc.ascii_is_alpha(heads).to_numpy(zero_copy_only=False)
+        head, tail = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        own = np.flatnonzero(plain)
+        low = pc.ascii_lower(heads.take(own)).dictionary_encode()
+        head[own] = self.numbers(low.dictionary.to_pylist())[low.indices.to_numpy()]
+        size = pc.binary_length(heads).to_numpy()
+        has = np.flatnonzero(plain & (pc.binary_length(words).to_numpy() > size))
+        tail[has] = self.numbers([w[n:] for w, n in zip(words.take(has).to_pylist(), size[has].tolist())])
+        rest = np.flatnonzero(~plain)
+        if rest.size:
+            whole = words.take(rest).to_pylist()
+            cut = [len(h) if h and stays_letters(h) else len(w) for h, w in zip(heads.take(rest).to_pylist(), whole)]
+            head[rest] = self.numbers([w[:n] for w, n in zip(whole, cut)])
+            tail[rest] = self.numbers([w[n:] for w, n in zip(whole, cut)])
+        return head, tail
+
+    def expand(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these places one after the other, and how many each has."""
         length = self.length[at]
         upto = np.cumsum(length)
-        ids = self.flat[np.repeat(self.start[at] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
-        return np.split(ids, upto[np.array(ends[:-1], int) - 1]) if texts else []
+        return self.flat[np.repeat(self.start[at] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)], length
+
+    def encode(self, texts) -> list[np.ndarray]:
+        """Ids of each text, with the end id; texts: an Arrow array or a list."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.number) > CACHE:
+            self.forget()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return []
+        words = pc.ascii_split_whitespace(texts)
+        ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        coded = words.flatten().dictionary_encode()  # white space at an end makes an empty word, which has no ids
+        flat, sizes = self.expand(np.stack(self.split(coded.dictionary), 1).ravel())
+        length = sizes.reshape(-1, 2).sum(1)
+        start = np.cumsum(length) - length
+        at = coded.indices.to_numpy()
+        each = length[at]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(start[at] - upto[:-1], each) + np.arange(upto[-1])]
+        cuts = upto[ends]
+        ids = np.insert(ids, cuts, END_ID)
+        return np.split(ids, (cuts + np.arange(1, len(cuts) + 1))[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -301,7 +319,7 @@ class _Write:
         coder = words(self.path)
         ids, docs, held = [], [], 0
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist())):
+            for i, x in zip(b.column(0).to_pylist(), coder.encode(b.column(1))):
                 ids.append(i)
                 docs.append(x)
                 held += len(x)
