@@ -30,16 +30,11 @@ from pyspark.sql import types as T
 from siftwell.llm.common import map_rows, require, table, words_of
 
 #: Entries of a worker's caches of pieces; beyond it they are emptied.
-CACHE = 400_000
+CACHE = 200_000
 #: Longer pieces are encoded but not kept.
 LONGEST_KEPT = 64
 
 
-#: Capitals that the tokenizer's library lower-cases and Python 3.13 does not know yet (fixed values).
-NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
-NEW_CAPITALS |= {x: x + 0x20 for x in range(0x10D50, 0x10D66)} | {x: x + 0x1B for x in range(0x16EA0, 0x16EB9)}
-
-
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable ones for themselves, the others from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -70,7 +65,8 @@ class Model:
         letters = byte_letters()
         # symbols 0..255 are bytes, 256..511 bytes that end a word
         base = [self.vocab[c] for c in letters] + [self.vocab[c + self.suffix] for c in letters]
-        value = {c: b for b, c in enumerate(letters)}
+        value = self.value = {c: b for b, c in enumerate(letters)}
+        self.path, self._library = path, None
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], int] = {}
         self.rank: dict[int, int] = {i: -1 for i in base}
@@ -128,7 +124,7 @@ class Model:
         known = self._fits.get(key)
         if known is not None:
             return known
-        if len(self._fits) >= 4 * CACHE:
+        if len(self._fits) >= 2 * CACHE:
             self._fits.clear()
         rank, limit, out = self.rank, 1 << 60, True
         while True:
@@ -195,16 +191,26 @@ class Model:
         if s.isascii():
             s = s.lower()
             return [s.encode()] if s.isalpha() else [x.encode() for x in self.pattern.findall(s)]
+        if not s.isalpha() and any(category(ch) == "Cn" for ch in s):
+            return self._split_by_library(s)
         s = unicodedata.normalize("NFC", s)
         s = "".join(map(str.lower, s)) if "Σ" in s else s.lower()
         if s.isalpha():
             return [s.encode()]
-        if any(category(ch) == "Cn" for ch in s):  # characters newer than the tokenizer's tables are no letters there
-            masked = "".join("¬" if category(ch) == "Cn" else ch for ch in s)
-            return [s[slice(*m.span())].translate(NEW_CAPITALS).encode() for m in self.pattern.finditer(masked)]
         return [x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(s)]
 
 
+    def _split_by_library(self, s: str) -> list[bytes]:
+        """The pieces of a word with characters that the installed Python doesn't know, by the library's own tables."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_file(self.path)
+            self._library = (t.normalizer, t.pre_tokenizer)
+        normal, split = self._library
+        return [bytes(self.value[c] for c in piece) for piece, _ in split.pre_tokenize_str(normal.normalize_str(s))]
+
+
 class Coder:
     """Encodes and decodes texts; keeps the encodings of words seen lately."""
 
