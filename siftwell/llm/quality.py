@@ -6,8 +6,8 @@ gain and pruned on the last third; it joins the list if it keeps its precision t
 covers are taken out before the next is grown. The list is emitted as ordered Spark conditional expressions.
 A document goes if the fixed base rule fails or the first rule that fits says so.
 
-Bound: the list is fitted on at most ``sample_rows`` labelled rows, the first by a hash of doc_id; the
-statistics and the verdicts cover every document.
+Bound: the list is fitted on at most ``sample_rows`` labelled rows, the first by a hash of doc_id, and has at most
+``MAX_RULES`` rules of ``MAX_CONDITIONS`` conditions; the statistics and the verdicts cover every document.
 
 Defined cases: a null text has no words, so the base rule rejects it; a document with several labels counts
 once, as the lowest; null labels are ignored; without labels, or with labels of one class only, the list is
@@ -179,20 +179,29 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules from at most ``sample_rows`` labelled rows of the statistics that pass the base rule."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules from at most ``sample_rows`` labelled rows that pass the base rule.
+
+    The labelled ids are cut to about ``sample_rows`` by a hash before any text is read, so what the driver and a
+    broadcast hold has a fixed bound.
+    """
     require(labels, "doc_id", "quality")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    first = stats.where(~base_failed()).join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.col("quality") == 0).alias("bad"), *(F.expr(e).alias(k) for k, e in FEATURES.items()))
-    rows = first.orderBy("h", "doc_id").limit(sample_rows).toPandas()
+    known = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    if (n := known.count()) > sample_rows:
+        known = known.where(F.col("h") < int((1 << 40) * sample_rows / n))
+    known = materialize(known, "quality-known")
+    stats = map_rows(docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"), f"doc_id long, {STATS}", _stat_row, "doc_id", "text")
+    first = stats.where(~base_failed()).join(F.broadcast(known), "doc_id").select("h", "doc_id", (F.col("quality") == 0).alias("bad"), *(F.expr(e).alias(k) for k, e in FEATURES.items()))
+    rows = first.orderBy("h", "doc_id", *FEATURES).limit(sample_rows).toPandas()
     return learn({k: rows[k].to_numpy(float) for k in FEATURES}, rows["bad"].to_numpy(bool))
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row for each document: its counts, base_failed, rule (-1: none) and kept."""
     require(docs, "doc_id", "text")
-    stats = materialize(map_rows(docs, f"doc_id long, {STATS}", _stat_row, "doc_id", "text"), "quality-stats")
-    rule = expression(fit(stats, labels, sample_rows))
+    rule = expression(fit(docs, labels, sample_rows))
+    stats = map_rows(docs, f"doc_id long, {STATS}", _stat_row, "doc_id", "text")
     return stats.select("doc_id", *COUNTS, base_failed().alias("base_failed"), rule.cast("int").alias("rule"), (~base_failed() & (rule == -1)).alias("kept"))
 
 
@@ -211,8 +220,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     require(docs, "doc_id", "text")
     schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(c, T.LongType()) for c in COUNTS)])
     stats = docs.mapInArrow(_stat_batches, schema)
-    counts = materialize(map_rows(docs, f"doc_id long, {STATS}", _stat_row, "doc_id", "text"), "quality-stats")
-    rule = expression(fit(counts, labels, sample_rows))
+    rule = expression(fit(docs, labels, sample_rows))
     return stats.where(~base_failed() & (rule == -1)).select("row.*")
 
 
