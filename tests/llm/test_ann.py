@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.llm import ann
@@ -73,3 +74,15 @@ def test_length_is_that_of_most_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
     out = ann.search(df.where("vec_id in (5, 2000)"), df, 2).collect()
     assert {(r["query_id"], r["vec_id"]) for r in out} == {(2000, 1999), (2000, 2001)}
+
+
+@pytest.mark.parametrize("kind", ["double", "int"])
+def test_other_element_types(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4)) if kind == "double" else rng.integers(-50, 50, (300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(400, [None] * 4), (401, [1] * 3 if kind == "int" else [1.0] * 3)], f"vec_id long, embedding array<{kind}>")
+    out = ann.search(df.where("vec_id % 100 = 0"), df, 5).collect()
+    for q in (0, 100, 200):
+        got = [(r["vec_id"], r["score"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])]
+        want = brute(x.astype(float), list(range(300)), q, 5)
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([d for _, d in got], [d for _, d in want], rtol=1e-12)
