@@ -8,22 +8,28 @@ band and those below that can hold a partner. Allocation goes by cost: segments
 and cheap, small ones dear, empty ones the dearest; the index holds every segment, and the one-deletion
 neighbourhoods of the small ones among the first that allocation 2 can ask for. Candidates are checked exactly on the texts.
 
-What is joined are classes of equal sets, not documents. All members of an index entry are tied to its first
-member, not to each other: linked stars become components, and only where an entry still holds classes of
-several components are pairs between these components formed, block by block, and only those pairs that the
-histograms of their elements allow to reach the threshold; then they are checked too. No link is lost and no
-group is squared: a group of near copies falls into one component after the first round.
+What is joined are classes of equal sets, not documents. Each class is first checked against one other class of
+its entries, the one with which it shares most. Linked classes become components, and only entries that still hold
+several components go on, in rounds: every component proposes one pair to another component of an entry, the
+nearest by the histograms of the elements; proposals are checked, components merged, refused pairs remembered.
+When few proposals are accepted, all pairs of classes between the components that are left are formed, and those
+whose histograms allow the threshold are checked. No link between components is lost and no group is squared: a group of
+near copies falls into one component after a few rounds, with about one checked pair for each class and round.
+
+Skew: index entries are joined by chunk before they are sent and met as a stream; entries with over ``SPLIT`` members
+are dealt anew to parts in every round, and to pairs of parts in the end, so that a task holds two parts at most.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; with fewer words than n the
 whole text is one n-gram; very long texts take n log n time; a null doc_id belongs to a component but never names
 one (null if no member has an id); rows of one doc_id are separate documents; an empty table gives an empty
-result; other columns are kept by ``first_of_each`` and ignored by ``components``. Sets are told apart by a
-64-bit key, elements by 64-bit hashes.
+result; other columns, maps included, are kept by ``first_of_each`` and ignored by ``components``. Sets are told
+apart by a 64-bit key, elements by 64-bit hashes, rows by a 64-bit tag of doc_id and text.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -33,6 +39,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialize, release, require, table
 from siftwell.llm.rlz import Prefixes, _signed, mixed, word_hashes
+from siftwell.llm.rlz import _hashes as word_cache
 
 N = 3
 PERCENT = 90
@@ -51,13 +58,16 @@ CHUNK = 400_000
 FAN = 2048
 #: Bits of the filter of wanted ids, which is broadcast; ids share bits, so it only ever lets too many through.
 FILTER_BITS = 1 << 26
-#: Least entries of a class that its rows carry: of all entries that two classes share, one of these makes the pair.
-LEAST = 8
-#: Members of an entry compared at once.
-BLOCK = 1024
+#: Members of an entry that are compared in one task; larger entries are dealt to parts.
+SPLIT = 4096
+#: Rows compared at once: of one side and of the other.
+BLOCK = (32, 1024)
+#: Rounds of proposals go on while this share of them is accepted.
+ACCEPTED = 0.25
 NO_ID = (1 << 63) - 1
 DOC, ENTRY, MEMBER, PAIR = 0, 1, 2, 3
-ROWS = "kind tinyint, a long, b long, n int, histogram binary"
+PROPOSED, ALIVE = 0, 1
+ROWS = "kind tinyint, a long, b long, n int, tag long, histogram binary"
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -155,24 +165,22 @@ def set_key(s: np.ndarray) -> int:
 
 
 class _Index:
-    """Pass 1: a DOC row for each document; entries of each class, joined by chunk."""
+    """Pass 1: a DOC row for each document; entries of each class, joined by chunk. Columns: doc_id, text, tag."""
 
     def __init__(self, n: int, percent: int, spare: int, chunk: int):
         self.n, self.percent, self.spare, self.chunk = n, percent, spare, chunk
 
     def __call__(self, batches):
-        import pyarrow as pa
-
         bands = Bands(self.percent, self.spare)
         seen, sigs, keys, probes, count = set(), [], [], [], 0
         for batch in batches:
-            rows = ([], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = ([], [], [], [], [])
+            for doc, text, tag in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text, self.n)
                 if not len(s):
                     continue
                 k = set_key(s)
-                for column, x in zip(rows, (NO_ID if doc is None else doc, k, len(s), None if k in seen else histogram(s))):
+                for column, x in zip(rows, (NO_ID if doc is None else doc, k, len(s), tag, None if k in seen else histogram(s))):
                     column.append(x)
                 if k in seen:
                     continue
@@ -188,13 +196,15 @@ class _Index:
                 seen, sigs, keys, probes, count = set(), [], [], [], 0
         if count:
             yield from self.flush(sigs, keys, probes)
+        word_cache.clear()
 
     @staticmethod
-    def batch(kind, a, b, n, histograms=None):
+    def batch(kind, a, b, n, tags=None, histograms=None):
         import pyarrow as pa
 
+        t = pa.array(tags, pa.int64()) if tags is not None else pa.nulls(len(a), pa.int64())
         h = pa.array(histograms, pa.binary()) if histograms is not None else pa.nulls(len(a), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), h], names=["kind", "a", "b", "n", "histogram"])
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), t, h], names=["kind", "a", "b", "n", "tag", "histogram"])
 
     def flush(self, sigs, keys, probes):
         sig, key, probe = np.concatenate(sigs), np.concatenate(keys), np.concatenate(probes)
@@ -218,13 +228,14 @@ class _Index:
 
 
 class _Meet:
-    """Rows of ROWS sorted by a within a task: entries that one class alone has go, the others stay with their first
-    class in ``first``; rows of other kinds pass through."""
+    """Rows of ROWS sorted by (a, n falling) within a task: of the entries that several classes share and one probes with,
+    the rows stay, with the entry's first class in ``first``; rows of other kinds pass through. An entry of any size is a
+    stream: what is held is its first row."""
 
     def __call__(self, batches):
         import pyarrow as pa
 
-        held = None  # the last entry, as it may go on in the next batch
+        at, first, asked, sent = None, 0, False, False
         for b in batches:
             kind = b.column(0).to_numpy()
             if (other := np.flatnonzero(kind != ENTRY)).size:
@@ -234,27 +245,22 @@ class _Meet:
             if not own.any():
                 continue
             a, k, n = (b.column(i).to_numpy()[own] for i in (1, 2, 3))
-            if held is not None:
-                a, k, n = (np.concatenate(x) for x in zip(held, (a, k, n)))
-            cut = int(np.searchsorted(a, a[-1]))
-            held = tuple(x[cut:] for x in (a, k, n))
-            yield from self.several(a[:cut], k[:cut], n[:cut])
-        if held is not None:
-            yield from self.several(*held)
-
-    @staticmethod
-    def several(a, k, n):
-        import pyarrow as pa
-
-        if len(a) < 2:
-            return
-        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        sizes = np.diff(np.append(starts, len(a)))
-        first, last = np.minimum.reduceat(k, starts), np.maximum.reduceat(k, starts)
-        keep = np.repeat((first != last) & (np.maximum.reduceat(n, starts) > 0), sizes)
-        if keep.any():
-            m = int(keep.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, ENTRY, np.int8)), pa.array(a[keep]), pa.array(k[keep]), pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.binary()), pa.array(np.repeat(first, sizes)[keep])], names=["kind", "a", "b", "n", "histogram", "first"])
+            new = np.concatenate([[at is None or a[0] != at], a[1:] != a[:-1]])
+            starts = np.flatnonzero(new)
+            group = np.cumsum(new)  # 0: the entry that the last batch ended with
+            firsts = np.concatenate([[first], k[starts]])
+            asks = np.concatenate([[asked], n[starts] > 0])
+            others = (k != firsts[group]) & asks[group]
+            shared = np.bincount(group[others], minlength=len(firsts)) > 0
+            leads = starts[shared[1:]]
+            out = [(a[leads], k[leads], k[leads]), (a[others], k[others], firsts[group[others]])]
+            if shared[0] and not sent:
+                out.append(tuple(np.array([x], np.int64) for x in (at, first, first)))
+            sent = bool(shared[-1]) or (sent and len(starts) == 0)
+            at, first, asked = a[-1], firsts[-1], bool(asks[-1])
+            a, k, f = (np.concatenate(x) for x in zip(*out))
+            if m := len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, ENTRY, np.int8)), pa.array(a), pa.array(k), pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(f)], names=["kind", "a", "b", "n", "tag", "histogram", "first"])
 
 
 class _Sieve:
@@ -300,61 +306,101 @@ class _Check:
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["k1", "k2"])
 
 
-class _Between:
-    """Pairs between components inside an entry, each in the least entry that both sides carry.
+class _Propose:
+    """Pairs between components inside a group of an entry's members that their histograms allow.
 
-    Rows sorted by entry: a, comp, k, n, histogram, least (the class's least entries, sorted).
+    Rows sorted by group: group, side, comp, k, n, histogram, refused (keys it was checked against in vain). Rows of
+    different sides are compared, and rows of side 0 among themselves. ``every``: all pairs are PROPOSED (k1, k2);
+    else for each component the nearest, and the classes that have a pair at all are ALIVE.
     """
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, every: bool):
+        self.percent, self.every = percent, every
 
     def __call__(self, batches):
-        key, rows, entry_max = None, [], np.iinfo(np.int64).max
+        key, rows = None, []
+        self.best: dict[int, tuple[int, int, int]] = {}
+        self.alive: set[int] = set()
         for b in batches:
             if not b.num_rows:
                 continue
-            a, comp, k, n = (b.column(i).to_numpy() for i in range(4))
-            h = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
-            low = np.full((len(a), LEAST), entry_max, np.int64)
-            for row, x in zip(low, b.column(5).to_pylist()):
-                row[: len(x)] = x
-            cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(a)]):
-                if a[lo] != key:
+            group, side, comp, k, n = (b.column(i).to_numpy() for i in range(5))
+            h = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            refused = b.column(6).to_pylist()
+            cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(group)]):
+                if group[lo] != key:
                     if rows:
-                        yield from self.pairs(key, rows)
-                    key, rows = a[lo], []
-                rows.append((comp[lo:hi], k[lo:hi], n[lo:hi].astype(np.int64), h[lo:hi], low[lo:hi]))
+                        yield from self.pairs(rows)
+                    key, rows = group[lo], []
+                rows.append((side[lo:hi], comp[lo:hi], k[lo:hi], n[lo:hi].astype(np.int64), h[lo:hi], refused[lo:hi]))
+            if len(self.best) + len(self.alive) > 200_000:
+                yield from self.flush()
         if rows:
-            yield from self.pairs(key, rows)
+            yield from self.pairs(rows)
+        yield from self.flush()
+
+    def pairs(self, rows):
+        side, comp, k, n, h = (np.concatenate(c) for c in list(zip(*rows))[:5])
+        refused = [x for r in rows for x in r[5]]
+        comps, inverse, times = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(comps) < 2:
+            return
+        order = np.argsort(n, kind="stable")
+        side, comp, k, n, h = side[order], comp[order], k[order], n[order], h[order].astype(np.int16)
+        small = np.flatnonzero(inverse[order] != times.argmax())  # the largest component is only compared with the others
+        for at in range(0, len(small), BLOCK[0]):
+            x = small[at : at + BLOCK[0]]
+            low = int(np.searchsorted(n, -(-n[x[0]] * self.percent // 100)))
+            high = int(np.searchsorted(n, n[x[-1]] * 100 // self.percent, side="right"))
+            for start in range(low, high, BLOCK[1]):
+                y = slice(start, min(start + BLOCK[1], high))
+                total = n[x][:, None] + n[y]
+                ok = (comp[x][:, None] != comp[y]) & ((side[x][:, None] != side[y]) | (side[y] == 0))
+                if not ok.any():
+                    continue
+                apart = np.abs(h[x][:, None] - h[y]).sum(2, dtype=np.int32)
+                ok &= apart <= total * (100 - self.percent) // (100 + self.percent)
+                for i, r in enumerate(x.tolist()):
+                    if ok[i].any():
+                        if refused[order[r]]:
+                            ok[i] &= ~np.isin(k[y], refused[order[r]])
+                        for j in np.flatnonzero(ok[i]).tolist():
+                            if refused[order[start + j]] and int(k[r]) in refused[order[start + j]]:
+                                ok[i, j] = False
+                if self.every:
+                    i, j = np.nonzero(ok)
+                    if len(i):
+                        yield self.batch(PROPOSED, k[x][i], k[y][j], k[x][i], apart[i, j])
+                    continue
+                self.alive.update(k[x][ok.any(1)].tolist())
+                self.alive.update(k[y][ok.any(0)].tolist())
+                nearest = np.where(ok, apart, 1 << 30).argmin(1)
+                for i in np.flatnonzero(ok.any(1)).tolist():
+                    j = int(nearest[i])
+                    found = (int(apart[i, j]), int(k[x[i]]), int(k[start + j]))
+                    c = int(comp[x[i]])
+                    if c not in self.best or found < self.best[c]:
+                        self.best[c] = found
+
+    def flush(self):
+        if self.best:
+            comps, found = zip(*self.best.items())
+            d, k1, k2 = zip(*found)
+            yield self.batch(PROPOSED, np.array(k1), np.array(k2), np.array(comps), np.array(d))
+        if self.alive:
+            k = np.fromiter(self.alive, np.int64, len(self.alive))
+            yield self.batch(ALIVE, k, k, k, np.zeros(len(k)))
+        self.best, self.alive = {}, set()
 
-    def pairs(self, entry, rows):
+    @staticmethod
+    def batch(kind, k1, k2, comp, apart):
         import pyarrow as pa
 
-        comp, k, n, h, low = (np.concatenate(c) for c in zip(*rows))
-        order = np.argsort(n, kind="stable")
-        comp, k, n, h, low = comp[order], k[order], n[order], h[order], low[order]
-        for lo in range(0, len(k), BLOCK):
-            x = slice(lo, lo + BLOCK)
-            end = int(np.searchsorted(n, n[x][-1] * 100 // self.percent, side="right"))
-            for start in range(lo, end, BLOCK):
-                y = slice(start, min(start + BLOCK, end))
-                i, j = np.nonzero((comp[x][:, None] != comp[y]) & (np.arange(lo, lo + len(k[x]))[:, None] < np.arange(y.start, y.stop)) & (n[y] * self.percent <= n[x][:, None] * 100))
-                if len(i):
-                    ok = np.zeros(len(i), bool)
-                    for p in range(0, len(i), 1 << 16):
-                        q = slice(p, p + (1 << 16))
-                        ni, nj = n[x][i[q]], n[y][j[q]]
-                        ok[q] = np.abs(h[x][i[q]] - h[y][j[q]]).sum(1, dtype=np.int64) <= (ni + nj) * (100 - self.percent) // (100 + self.percent)
-                    i, j = i[ok], j[ok]
-                    for p in range(0, len(i), 1 << 16):  # made in a lesser entry
-                        q = slice(p, p + (1 << 16))
-                        li, lj = low[x][i[q]], low[y][j[q]]
-                        ok[p : p + len(li)] = ~((li[:, :, None] == lj[:, None, :]) & (li < entry)[:, :, None]).any((1, 2))
-                    ok = ok[: len(i)]
-                    k1, k2 = k[x][i[ok]], k[y][j[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k1, k2)), pa.array(np.maximum(k1, k2))], names=["k1", "k2"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k1), kind, np.int8)), *(pa.array(x, pa.int64()) for x in (k1, k2, comp)), pa.array(apart.astype(np.int32))], names=["kind", "k1", "k2", "comp", "apart"])
+
+
+PROPOSALS = "kind tinyint, k1 long, k2 long, comp long, apart int"
 
 
 def connected(links: DataFrame, start: DataFrame) -> DataFrame:
@@ -374,41 +420,113 @@ def connected(links: DataFrame, start: DataFrame) -> DataFrame:
         labels = materialize(labels.join(moved, F.col("comp") == F.col("old"), "left").select("k", F.coalesce("to", "comp").alias("comp")), "join-labels")
 
 
-def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows without most of those whose ``doc`` is not in ``wanted``: a filter of bounded size spares their shuffle."""
-    spot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+def in_some(keys: DataFrame) -> Callable[[Column], Column]:
+    """Test whether a 64-bit value may be among the values of ``keys`` (one column): a filter of bounded size, broadcast."""
     wide = 1 << 15
-    found = wanted.select(spot.alias("p")).groupBy((F.col("p") / wide).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("p") % wide).alias("bits")).collect()
+    spot = F.pmod(F.xxhash64(keys.columns[0]), F.lit(FILTER_BITS))
+    found = keys.select(spot.alias("p")).groupBy((F.col("p") / wide).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("p") % wide).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in found:  # at most FILTER_BITS / 2^15 rows of 4 KB
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
         bits[r["b"] * wide // 8 : r["b"] * wide // 8 + len(part)] = part
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def held(p: pd.Series) -> pd.Series:
         at = p.to_numpy()
         return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
 
-    return rows.where(held(spot))
+    return lambda value: held(F.pmod(F.xxhash64(value), F.lit(FILTER_BITS)))
 
 
-def check(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (k1, k2) of classes whose sets reach the threshold."""
+def tag() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def sieved(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (k1, k2) of classes whose sizes and histograms allow the threshold."""
     c1 = classes.select(F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("histogram").alias("h1"))
     c2 = classes.select(F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("histogram").alias("h2"))
     wide = pairs.join(c1, "k1").join(c2, "k2").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    wide = wide.select("k1", "k2", "n1", "n2", "h1", "h2").mapInArrow(_Sieve(percent), "k1 long, k2 long")
-    near = materialize(wide, "join-pairs")
+    return wide.select("k1", "k2", "n1", "n2", "h1", "h2").mapInArrow(_Sieve(percent), "k1 long, k2 long")
+
+
+def check(texts: DataFrame, classes: DataFrame, near: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (k1, k2) of classes whose sets reach the threshold; texts: (tag, text), k1 may stand in many pairs."""
     fans = near.groupBy("k1").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
-    fans = materialize(fans, "join-fans")
-    ids = classes.select("k", "doc")
+    ids = classes.select("k", "tag")
     others = near.join(fans.where("fan > 1"), "k1", "left").select(F.col("k1").alias("first"), F.pmod(F.xxhash64("k2"), F.coalesce("fan", F.lit(1)).cast("long")).cast("int").alias("part"), F.lit(False).alias("lead"), F.col("k2").alias("k"))
     leads = fans.select(F.col("k1").alias("first"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.lit(True).alias("lead"), F.col("k1").alias("k"))
     wanted = materialize(others.unionByName(leads).join(ids, "k"), "join-wanted")
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    rows = only_wanted(texts, wanted).join(wanted, "doc").select("first", "part", "lead", "k", "text").repartition("first", "part").sortWithinPartitions("first", "part", F.desc("lead"))
-    return rows.mapInArrow(_Check(n, percent), "k1 long, k2 long").distinct()
+    own = texts.where(in_some(wanted.select("tag"))(F.col("tag"))).dropDuplicates(["tag"])
+    rows = own.join(wanted, "tag").select("first", "part", "lead", "k", "text").repartition("first", "part").sortWithinPartitions("first", "part", F.desc("lead"))
+    return rows.mapInArrow(_Check(n, percent), "k1 long, k2 long")
+
+
+def merged(links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(old, new) of the components that links (k1, k2) between classes merge, and labels (k, comp) with them merged."""
+    c1, c2 = (labels.select(F.col("k").alias(k), F.col("comp").alias(c)) for k, c in (("k1", "c1"), ("k2", "c2")))
+    edges = materialize(links.join(c1, "k1").join(c2, "k2").where("c1 != c2").select(F.col("c1").alias("k1"), F.col("c2").alias("k2")).distinct(), "join-edges")
+    ends = edges.select(F.explode(F.array("k1", "k2")).alias("k")).distinct()
+    moved = connected(edges, materialize(ends.select("k", F.col("k").alias("comp")), "join-ends")).select(F.col("k").alias("old"), F.col("comp").alias("new"))
+    labels = labels.join(moved, F.col("comp") == F.col("old"), "left").select("k", F.coalesce("new", "comp").alias("comp"))
+    return moved, materialize(labels, "join-labelled")
+
+
+def still_open(rest: DataFrame, name: str) -> DataFrame:
+    """The rows of entries that hold several components; parts: how many parts an entry is dealt to."""
+    open_ = rest.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("c0 != c1")
+    return materialize(rest.drop("parts").join(open_.select("a", "parts"), "a"), name)
+
+
+def proposals(rest: DataFrame, refused: DataFrame | None, percent: int, turn: int, every: bool) -> DataFrame:
+    part = F.pmod(F.xxhash64("k", F.lit(turn)), F.col("parts").cast("long")).cast("int")
+    if every:  # pairs of parts, each once; in a pair of one part with itself all are side 0
+        rows = rest.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.withColumn("side", F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2))
+        rows = rows.withColumn("group", F.xxhash64("a", F.least("p", "q"), F.greatest("p", "q")))
+    else:
+        rows = rest.withColumn("side", F.lit(0)).withColumn("group", F.xxhash64("a", part))
+    if refused is not None:
+        rows = rows.join(refused.groupBy(F.col("k2").alias("k")).agg(F.collect_set("k1").alias("refused")), "k", "left")
+    else:
+        rows = rows.withColumn("refused", F.lit(None).cast("array<long>"))
+    rows = rows.select("group", "side", "comp", "k", "n", "histogram", "refused").repartition("group").sortWithinPartitions("group")
+    return materialize(rows.mapInArrow(_Propose(percent, every), PROPOSALS), "join-proposed")
+
+
+def between(texts: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
+    """labels with all links between the components that entries still hold; members: (a, k, asked)."""
+    known = members.join(labels, "k")
+    open_ = known.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("asked").alias("asked")).where("c0 != c1 and asked > 0").select("a")
+    rest = known.drop("asked").join(open_, "a", "left_semi").join(classes.select("k", "n", "histogram"), "k")
+    rest = still_open(rest.withColumn("parts", F.lit(1)), "join-open")
+    refused, turn = None, 0
+    while True:
+        if rest.isEmpty():
+            return labels
+        found = proposals(rest, refused, percent, turn, False)
+        if turn == 0:  # classes without any possible pair take no part from here on; those of dealt entries stay
+            alive = found.where(F.col("kind") == ALIVE).select(F.col("k1").alias("k")).unionByName(rest.where("parts > 1").select("k")).distinct()
+            alive = materialize(alive, "join-alive")
+            rest = still_open(rest.join(alive, "k", "left_semi"), "join-open")
+            own = classes.join(alive, "k", "left_semi").select("tag")
+            texts = materialize(texts.where(in_some(own)(F.col("tag"))).dropDuplicates(["tag"]), "join-texts")
+        best = found.where(F.col("kind") == PROPOSED).groupBy("comp").agg(F.min(F.struct("apart", "k1", "k2")).alias("m"))
+        pairs = materialize(best.select(F.col("m.k2").alias("k1"), F.col("m.k1").alias("k2")).distinct(), "join-asked")
+        links = materialize(check(texts, classes, pairs, n, percent).distinct(), "join-found")
+        asked, good = pairs.count(), links.count()
+        if good:
+            moved, labels = merged(links, labels)
+            rest = still_open(rest.join(moved, F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new"), "join-open")
+        bad = pairs.join(links, ["k1", "k2"], "left_anti")
+        refused = bad if refused is None else materialize(refused.unionByName(bad), "join-refused")
+        turn += 1
+        if good <= ACCEPTED * asked:
+            break
+    last = proposals(rest, refused, percent, turn, True).select(F.greatest("k1", "k2").alias("k1"), F.least("k1", "k2").alias("k2")).distinct()
+    links = materialize(check(texts, classes, materialize(last, "join-asked"), n, percent), "join-found")
+    return labels if links.isEmpty() else merged(links, labels)[1]
 
 
 def components(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int = SPARE, chunk: int = CHUNK) -> DataFrame:
@@ -417,39 +535,36 @@ def components(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int =
 
 
 def labelled(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int = SPARE, chunk: int = CHUNK) -> DataFrame:
-    """components() with ``comp``, which tells components apart where ``component``, a doc_id, does not."""
+    """components() with ``tag`` and with ``comp``, which tells components apart where ``component``, a doc_id, does not."""
     require(docs, "doc_id", "text")
     if not 1 <= percent <= 100 or n < 1 or spare < 0:
         raise ValueError("percent is 1 to 100, n 1 or more, spare 0 or more")
-    rows = docs.select("doc_id", "text").mapInArrow(_Index(n, percent, spare, chunk), ROWS)
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", tag().alias("tag")).mapInArrow(_Index(n, percent, spare, chunk), ROWS)
     # entries meet in one shuffle and are not written; what is written is what several classes share
-    parsed = materialize(rows.repartition("a").sortWithinPartitions("a").mapInArrow(_Meet(), ROWS + ", first long"), "join-index")
-    release(docs.sparkSession)
+    dealt = F.when(F.col("kind") == ENTRY, F.col("a")).otherwise(F.xxhash64("a", "b"))
+    parsed = materialize(rows.repartition(dealt).sortWithinPartitions("kind", "a", F.desc("n")).mapInArrow(_Meet(), ROWS + ", first long"), "join-index")
+    release(spark)
     own = parsed.where(F.col("kind") == DOC)
-    classes = materialize(own.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("doc"), F.max("n").alias("n"), F.max("histogram").alias("histogram")), "join-classes")
-    groups = parsed.where(F.col("kind") == ENTRY).select("a", "b", "first")
+    named = own.groupBy(F.col("b").alias("k")).agg(F.min(F.struct("a", "tag")).alias("m"), F.max("n").alias("n"), F.max("histogram").alias("histogram"))
+    classes = materialize(named.select("k", F.col("m.a").alias("doc"), "m.tag", "n", "histogram"), "join-classes")
     # first round: each class is checked against the one with which it shares most entries
-    shared = groups.where("b != first").select(F.col("first").alias("k1"), F.col("b").alias("k2"), F.lit(1).alias("n"))
+    shared = parsed.where((F.col("kind") == ENTRY) & (F.col("b") != F.col("first"))).select(F.col("first").alias("k1"), F.col("b").alias("k2"), F.lit(1).alias("n"))
     shared = shared.unionByName(parsed.where(F.col("kind") == PAIR).select(F.col("a").alias("k1"), F.col("b").alias("k2"), "n"))
     shared = shared.groupBy("k1", "k2").agg(F.sum("n").alias("n")).groupBy("k2").agg(F.max(F.struct("n", "k1")).alias("m"))
-    pairs = materialize(shared.select("m.k1", "k2"), "join-partners")
-    links = materialize(check(docs, classes, pairs, n, percent), "join-stars")
-    release(docs.sparkSession)
-    labels = materialize(connected(links, classes.select("k", F.col("k").alias("comp"))), "join-first")
-    # entries that still hold several components: pairs between these
+    pairs = sieved(classes, shared.select("m.k1", "k2"), percent)
+    texts = docs.select(tag().alias("tag"), "text")
+    links = materialize(check(texts, classes, materialize(pairs, "join-pairs"), n, percent).distinct(), "join-stars")
+    release(spark)
     members = parsed.where(F.col("kind").isin(ENTRY, MEMBER)).groupBy("a", F.col("b").alias("k")).agg(F.max("n").alias("asked"))
-    members = materialize(members.join(labels, "k"), "join-members")
-    open_ = members.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("asked").alias("asked")).where("c0 != c1 and asked > 0").select("a")
-    rest = members.join(open_, "a", "left_semi").groupBy("k", "comp").agg(F.sort_array(F.collect_list("a")).alias("all"))
-    rest = rest.select("k", "comp", F.explode("all").alias("a"), F.slice("all", 1, LEAST).alias("least")).join(classes.select("k", "n", "histogram"), "k")
-    rest = rest.select("a", "comp", "k", "n", "histogram", "least").repartition("a").sortWithinPartitions("a")
-    between = rest.mapInArrow(_Between(percent), "k1 long, k2 long").distinct().join(pairs, ["k1", "k2"], "left_anti")
-    more = materialize(check(docs, classes, between, n, percent), "join-more")
-    release(docs.sparkSession)
-    final = connected(links.unionByName(more), labels)
-    named = materialize(final.join(classes.select("k", "doc"), "k"), "join-named")
-    named = named.join(named.groupBy("comp").agg(F.min("doc").alias("component")), "comp").select("k", "comp", "component")
-    return own.select(F.col("a").alias("doc"), F.col("b").alias("k"), "n").join(named, "k").select("doc", "k", "n", "comp", "component")
+    members = materialize(members, "join-members")
+    labels = members.select("k", F.col("k").alias("comp")).distinct()
+    _, labels = merged(links, materialize(labels, "join-first"))
+    labels = between(texts, classes, members, labels, n, percent)
+    release(spark)
+    every = materialize(classes.select("k", "doc").join(labels, "k", "left").withColumn("comp", F.coalesce("comp", "k")), "join-named")
+    names = every.join(every.groupBy("comp").agg(F.min("doc").alias("component")), "comp").select("k", "comp", "component")
+    return own.select(F.col("a").alias("doc"), F.col("b").alias("k"), "n", "tag").join(names, "k").select("doc", "k", "n", "tag", "comp", "component")
 
 
 def wordless() -> Column:
@@ -458,34 +573,26 @@ def wordless() -> Column:
 
 
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, one of the least doc_id (then of the least set key, then the least row); all columns stay.
+    """One row of each component, one of the least doc_id (then of the least set key, tag and row); all columns stay.
 
-    Rows are told apart by doc_id and set key, so null and repeated doc_ids lose nothing but near copies.
+    Rows are told apart by doc_id and text, so null and repeated doc_ids lose nothing but near copies.
     Documents without words are linked with nothing and stay.
     """
     require(docs, "doc_id", "text")
-    places = labelled(docs, n, percent).groupBy("doc", "k").agg(F.count("*").alias("rows"), F.min("comp").alias("comp"))
-    places = materialize(places, "join-kept")
-    firsts = places.groupBy("comp").agg(F.min(F.struct("doc", "k")).alias("f")).select("f.doc", "f.k", F.lit(True).alias("first"))
-    firsts = materialize(firsts, "join-firsts")
-    # an id with one row stays or goes by its id; rows of the other ids, and those without one, by their set keys
-    marks = places.where(F.col("doc") != NO_ID).join(firsts, ["doc", "k"], "left").groupBy("doc").agg((F.sum("rows") > 1).alias("repeated"), F.count("first").alias("firsts"))
-    marks = materialize(marks.where("repeated or firsts = 0").select(F.col("doc").alias("doc_id"), "repeated"), "join-marks")
-    worded = docs.where(~wordless())
-    single = worded.where("doc_id is not null").join(marks, "doc_id", "left_anti").select(*docs.columns)
-    rest = docs.where(wordless())
-    if marks.where("repeated").isEmpty() and places.where(F.col("doc") == NO_ID).isEmpty():
-        return single.unionByName(rest)
-    several = worded.where("doc_id is not null").join(marks.where("repeated"), "doc_id", "left_semi").select(*docs.columns)
-    several = several.unionByName(worded.where("doc_id is null"))
-
-    @F.pandas_udf("long")
-    def key(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_key(shingles(t, n)) for t in texts], dtype="int64")
-
-    several = several.select(F.struct("*").alias("r"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), key("text").alias("k"))
-    several = several.groupBy("doc", "k").agg(F.min("r").alias("r")).join(firsts, ["doc", "k"], "left_semi").select("r.*")
-    return single.unionByName(several).unionByName(rest)
+    places = labelled(docs, n, percent).groupBy("tag").agg(F.count("*").alias("rows"), F.min(F.struct("comp", "doc", "k")).alias("m"))
+    places = materialize(places.select("tag", "rows", F.col("m.comp").alias("comp"), F.struct("m.doc", "m.k", "tag").alias("place")), "join-places")
+    firsts = places.groupBy("comp").agg(F.min("place").alias("f"))
+    gone = places.join(firsts, "comp").where("place != f or rows > 1").select("tag", (F.col("place") == F.col("f")).alias("first"))
+    gone = materialize(gone, "join-gone")
+    suspect = in_some(gone.select("tag"))
+    marked = docs.select(F.struct("*").alias("row"), tag().alias("tag"), wordless().alias("bare"))
+    marked = marked.withColumn("suspect", ~F.col("bare") & suspect(F.col("tag")))
+    clear = marked.where(~F.col("suspect")).select("row.*")
+    # only rows that may be in ``gone`` are moved
+    asked = marked.where("suspect").join(gone, "tag", "left")
+    single = asked.where(F.col("first").isNull()).select("row.*")
+    several = asked.where("first").groupBy("tag").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return clear.unionByName(single).unionByName(several)
 
 
 def op7_jaccard(spark, sf_dir):

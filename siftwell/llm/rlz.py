@@ -40,7 +40,7 @@ GRAM = 8
 #: Factors joined in memory before they are sent.
 CHUNK = 200_000
 #: Word hashes that a worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
