@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialize, release, require, table
+from siftwell.llm.common import discard, materialize, release, require, table
 from siftwell.llm.rlz import Prefixes, _signed, mixed, word_hashes
 from siftwell.llm.rlz import _hashes as word_cache
 
@@ -451,8 +451,8 @@ def sieved(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return wide.select("k1", "k2", "n1", "n2", "h1", "h2").mapInArrow(_Sieve(percent), "k1 long, k2 long")
 
 
-def check(texts: DataFrame, classes: DataFrame, near: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (k1, k2) of classes whose sets reach the threshold; texts: (tag, text), k1 may stand in many pairs."""
+def checked(texts: DataFrame, classes: DataFrame, near: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (k1, k2) of classes whose sets reach the threshold, written; texts: (tag, text), k1 may stand in many pairs."""
     fans = near.groupBy("k1").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
     ids = classes.select("k", "tag")
     others = near.join(fans.where("fan > 1"), "k1", "left").select(F.col("k1").alias("first"), F.pmod(F.xxhash64("k2"), F.coalesce("fan", F.lit(1)).cast("long")).cast("int").alias("part"), F.lit(False).alias("lead"), F.col("k2").alias("k"))
@@ -460,7 +460,9 @@ def check(texts: DataFrame, classes: DataFrame, near: DataFrame, n: int, percent
     wanted = materialize(others.unionByName(leads).join(ids, "k"), "join-wanted")
     own = texts.where(in_some(wanted.select("tag"))(F.col("tag"))).dropDuplicates(["tag"])
     rows = own.join(wanted, "tag").select("first", "part", "lead", "k", "text").repartition("first", "part").sortWithinPartitions("first", "part", F.desc("lead"))
-    return rows.mapInArrow(_Check(n, percent), "k1 long, k2 long")
+    links = materialize(rows.mapInArrow(_Check(n, percent), "k1 long, k2 long").distinct(), "join-links")
+    discard(wanted)
+    return links
 
 
 def merged(links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -469,8 +471,9 @@ def merged(links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = materialize(links.join(c1, "k1").join(c2, "k2").where("c1 != c2").select(F.col("c1").alias("k1"), F.col("c2").alias("k2")).distinct(), "join-edges")
     ends = edges.select(F.explode(F.array("k1", "k2")).alias("k")).distinct()
     moved = connected(edges, materialize(ends.select("k", F.col("k").alias("comp")), "join-ends")).select(F.col("k").alias("old"), F.col("comp").alias("new"))
-    labels = labels.join(moved, F.col("comp") == F.col("old"), "left").select("k", F.coalesce("new", "comp").alias("comp"))
-    return moved, materialize(labels, "join-labelled")
+    after = materialize(labels.join(moved, F.col("comp") == F.col("old"), "left").select("k", F.coalesce("new", "comp").alias("comp")), "join-labelled")
+    discard(labels, edges)
+    return moved, after
 
 
 def still_open(rest: DataFrame, name: str) -> DataFrame:
@@ -509,24 +512,28 @@ def between(texts: DataFrame, classes: DataFrame, members: DataFrame, labels: Da
         if turn == 0:  # classes without any possible pair take no part from here on; those of dealt entries stay
             alive = found.where(F.col("kind") == ALIVE).select(F.col("k1").alias("k")).unionByName(rest.where("parts > 1").select("k")).distinct()
             alive = materialize(alive, "join-alive")
-            rest = still_open(rest.join(alive, "k", "left_semi"), "join-open")
+            before, rest = rest, still_open(rest.join(alive, "k", "left_semi"), "join-open")
+            discard(before)
             own = classes.join(alive, "k", "left_semi").select("tag")
             texts = materialize(texts.where(in_some(own)(F.col("tag"))).dropDuplicates(["tag"]), "join-texts")
         best = found.where(F.col("kind") == PROPOSED).groupBy("comp").agg(F.min(F.struct("apart", "k1", "k2")).alias("m"))
         pairs = materialize(best.select(F.col("m.k2").alias("k1"), F.col("m.k1").alias("k2")).distinct(), "join-asked")
-        links = materialize(check(texts, classes, pairs, n, percent).distinct(), "join-found")
+        links = checked(texts, classes, pairs, n, percent)
         asked, good = pairs.count(), links.count()
         if good:
             moved, labels = merged(links, labels)
-            rest = still_open(rest.join(moved, F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new"), "join-open")
+            before, rest = rest, still_open(rest.join(moved, F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new"), "join-open")
+            discard(before)
         bad = pairs.join(links, ["k1", "k2"], "left_anti")
         refused = bad if refused is None else materialize(refused.unionByName(bad), "join-refused")
         turn += 1
         if good <= ACCEPTED * asked:
             break
     last = proposals(rest, refused, percent, turn, True).select(F.greatest("k1", "k2").alias("k1"), F.least("k1", "k2").alias("k2")).distinct()
-    links = materialize(check(texts, classes, materialize(last, "join-asked"), n, percent), "join-found")
-    return labels if links.isEmpty() else merged(links, labels)[1]
+    links = checked(texts, classes, materialize(last, "join-asked"), n, percent)
+    labels = labels if links.isEmpty() else merged(links, labels)[1]
+    discard(rest, texts)
+    return labels
 
 
 def components(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int = SPARE, chunk: int = CHUNK) -> DataFrame:
@@ -554,17 +561,21 @@ def labelled(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int = S
     shared = shared.groupBy("k1", "k2").agg(F.sum("n").alias("n")).groupBy("k2").agg(F.max(F.struct("n", "k1")).alias("m"))
     pairs = sieved(classes, shared.select("m.k1", "k2"), percent)
     texts = docs.select(tag().alias("tag"), "text")
-    links = materialize(check(texts, classes, materialize(pairs, "join-pairs"), n, percent).distinct(), "join-stars")
-    release(spark)
+    pairs = materialize(pairs, "join-pairs")
+    links = checked(texts, classes, pairs, n, percent)
     members = parsed.where(F.col("kind").isin(ENTRY, MEMBER)).groupBy("a", F.col("b").alias("k")).agg(F.max("n").alias("asked"))
     members = materialize(members, "join-members")
+    own = materialize(own.select(F.col("a").alias("doc"), F.col("b").alias("k"), "n", "tag"), "join-rows")
+    discard(parsed, pairs)
+    release(spark)
     labels = members.select("k", F.col("k").alias("comp")).distinct()
     _, labels = merged(links, materialize(labels, "join-first"))
     labels = between(texts, classes, members, labels, n, percent)
-    release(spark)
     every = materialize(classes.select("k", "doc").join(labels, "k", "left").withColumn("comp", F.coalesce("comp", "k")), "join-named")
+    discard(classes, members, labels)
+    release(spark)
     names = every.join(every.groupBy("comp").agg(F.min("doc").alias("component")), "comp").select("k", "comp", "component")
-    return own.select(F.col("a").alias("doc"), F.col("b").alias("k"), "n", "tag").join(names, "k").select("doc", "k", "n", "tag", "comp", "component")
+    return own.join(names, "k").select("doc", "k", "n", "tag", "comp", "component")
 
 
 def wordless() -> Column:

@@ -98,17 +98,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3
         check_schedule(knots)
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     base = docs.select(F.struct(*(docs[c] for c in (keep or docs.columns))).alias("row"), F.col("source"), n_words(F.col("text")).alias("size"), h.alias("h"), F.substring(h, 1, HEX_DIGITS).alias("bucket"))
-    base = materialize(base, "mix-base")
-    buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    # a key without nulls: windows and the join then share one partitioning, and rows are shuffled once
+    base = materialize(base.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), "mix-base")
+    buckets = base.groupBy("key", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
     buckets = materialize(buckets, "mix-buckets")
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     s, t = starts.alias("s"), targets.alias("t")
-    s = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s.bucket", "bucket_start", "source_size", "cls", "target").alias("s")
-    inside = W.partitionBy("source", "bucket").orderBy("h", "size").rowsBetween(W.unboundedPreceding, -1)
-    b = base.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("b")
-    j = b.join(s, (F.col("b.bucket") == F.col("s.bucket")) & F.col("b.source").eqNullSafe(F.col("s.source")))
+    s = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("key", "bucket", "bucket_start", "source_size", "cls", "target")
+    inside = W.partitionBy("key", "bucket").orderBy("h", "size").rowsBetween(W.unboundedPreceding, -1)
+    j = base.drop("source").withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(s, ["key", "bucket"])
     budget = F.round("target").cast("long")
 
     def copy(e: Column) -> Column:
