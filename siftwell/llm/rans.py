@@ -46,7 +46,9 @@ STEPS = 1024
 SECTION = 2_000_000
 END_ID = 1
 #: Parts of words whose ids a worker keeps; beyond it they are forgotten.
-CACHE = 500_000
+CACHE = 1_000_000
+#: Bytes of texts encoded at once.
+GATHERED = 16 << 20
 #: Parts given to the library in one call's text.
 JOINED = 64
 #: ASCII symbols that the split pattern keeps apart from letters before them (no apostrophe: it may begin a contraction).
@@ -81,10 +83,10 @@ class Words:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def ids_of(self, new: list[str]) -> list[list[int]]:
-        """One call for all; parts of letters are joined by spaces, of which each is one pre-token."""
+    def ids_of(self, new: list[str], plain: bool) -> list[list[int]]:
+        """One call for all; parts of letters are joined by spaces, of which each is one pre-token. plain: all are ASCII letters."""
         found: list = [None] * len(new)
-        letters = [i for i, x in enumerate(new) if stays_letters(x)]
+        letters = range(len(new)) if plain else [i for i, x in enumerate(new) if stays_letters(x)]
         groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
         for group, e in zip(groups, self.tokenizer.encode_batch([" ".join([new[i] for i in g]) for g in groups], add_special_tokens=False)):
             ids, at = e.ids, e.word_ids
@@ -97,12 +99,12 @@ class Words:
             found[i] = e.ids
         return found
 
-    def numbers(self, parts: list[str]) -> np.ndarray:
+    def numbers(self, parts: list[str], plain: bool = False) -> np.ndarray:
         """Places of the parts in ``start`` and ``length``; unknown ones are learnt."""
         at = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
         if (unknown := np.flatnonzero(at < 0)).size:
             new = list(dict.fromkeys([parts[i] for i in unknown.tolist()]))
-            ids = self.ids_of(new)
+            ids = self.ids_of(new, plain)
             n, lengths = len(self.number), np.fromiter(map(len, ids), np.int64, len(ids))
             total = int(lengths.sum())
             while self.used + total > len(self.flat):
@@ -126,10 +128,10 @@ class Words:
         head, tail = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         own = np.flatnonzero(plain)
         low = pc.ascii_lower(heads.take(own)).dictionary_encode()
-        head[own] = self.numbers(low.dictionary.to_pylist())[low.indices.to_numpy()]
+        head[own] = self.numbers(low.dictionary.to_numpy(zero_copy_only=False).tolist(), True)[low.indices.to_numpy()]
         size = pc.binary_length(heads).to_numpy()
         has = np.flatnonzero(plain & (pc.binary_length(words).to_numpy() > size))
-        tail[has] = self.numbers([w[n:] for w, n in zip(words.take(has).to_pylist(), size[has].tolist())])
+        tail[has] = self.numbers([w[n:] for w, n in zip(words.take(has).to_numpy(zero_copy_only=False).tolist(), size[has].tolist())])
         rest = np.flatnonzero(~plain)
         if rest.size:
             whole = words.take(rest).to_pylist()
@@ -308,6 +310,21 @@ def unpack(image: bytes, only: range | None = None) -> tuple[list[int | None], n
 SECTIONS = "shard int, section int, n_docs long, n_tokens long, image binary"
 
 
+def gathered(batches):
+    """Batches put together to about GATHERED bytes: a word that stands in several is looked up once."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= GATHERED:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class _Write:
     def __init__(self, path: str):
         self.path = path
@@ -318,7 +335,7 @@ class _Write:
         shard, section = TaskContext.get().partitionId(), 0
         coder = words(self.path)
         ids, docs, held = [], [], 0
-        for b in batches:
+        for b in gathered(batches):
             for i, x in zip(b.column(0).to_pylist(), coder.encode(b.column(1))):
                 ids.append(i)
                 docs.append(x)
