@@ -12,7 +12,7 @@ from siftwell.functions.text import windows
 MAX_WORDS, OVERLAP_WORDS, DIGEST_CHARS = 220, 40, 12
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
+HTTP_METHODS = ("get", "post", "put", "patch", "delete", "options", "head", "trace")
 OPERATION_KEYS = ("summary", "description", "operationId", "tags", "parameters", "requestBody", "responses")
 
 
@@ -88,26 +88,22 @@ def openapi_units(text: str) -> list[tuple[str, str]]:
     import yaml
 
     def dump(x) -> str:
-        return yaml.safe_dump(x, sort_keys=True, allow_unicode=True).strip()
+        return yaml.safe_dump(x, sort_keys=True, allow_unicode=True)
 
     root = yaml.safe_load(text)
     if not isinstance(root, dict):
         raise ValueError("an OpenAPI document is a mapping")
-    out, paths = [], root.get("paths", {})
+    info, paths, components = (root.get(k, {}) for k in ("info", "paths", "components"))
     if not isinstance(paths, dict):
         raise ValueError("paths is a mapping")
-    if isinstance(info := root.get("info", {}), dict):
-        out.append(("API information", dump(info)))
-    for path in sorted(paths):
-        if isinstance(item := paths[path], dict):
-            for method in METHODS:
-                if isinstance(op := item.get(method), dict):
-                    name = f"{method.upper()} {path}"
-                    out.append((name, f"{name}\n{dump({k: op[k] for k in OPERATION_KEYS if k in op})}"))
-    if isinstance(components := root.get("components", {}), dict):
-        for kind in sorted(components):
-            if isinstance(group := components[kind], dict):
-                out += [(f"{kind}: {name}", dump(group[name])) for name in sorted(group)]
+    out = [("API information", dump(info))] if isinstance(info, dict) else []
+    operations = ((path, verb, op) for path in sorted(paths) if isinstance(paths[path], dict) for verb, op in sorted(paths[path].items()) if verb.lower() in HTTP_METHODS)
+    for path, verb, op in operations:
+        if isinstance(op, dict):
+            name = f"{verb.upper()} {path}"
+            out.append((name, f"{name}\n{dump({k: op[k] for k in OPERATION_KEYS if k in op})}"))
+    if isinstance(components, dict):
+        out += [(f"components > {kind} > {name}", dump(group[name])) for kind, group in sorted(components.items()) if isinstance(group, dict) for name in sorted(group)]
     return out
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +17,17 @@ def passes(operator: Column, observed: Column, threshold: Column) -> Column:
 def evaluate_policy(checks: DataFrame, facts: DataFrame) -> DataFrame:
     """id, observed, threshold, passed. checks: id, artifact, path, operator, threshold; facts: artifact, path, value.
 
-    A check whose metric is missing doesn't pass.
+    A check whose metric is missing or is no number raises when the rows are read.
     """
     rows = checks.join(facts, ["artifact", "path"], "left")
-    ok = F.when(F.col("value").isNull(), F.lit(False)).otherwise(passes(F.col("operator"), F.col("value"), F.col("threshold")))
-    return rows.select("id", F.col("value").alias("observed"), "threshold", ok.alias("passed"))
+    value = F.coalesce("value", F.raise_error(F.concat(F.lit("missing or not numeric: "), "path")).cast("double"))
+    rows = rows.withColumn("observed", value)
+    return rows.select("id", "observed", "threshold", passes(F.col("operator"), F.col("observed"), F.col("threshold")).alias("passed"))
+
+
+def configuration_sha256(configuration: dict) -> str:
+    """Hash of a configuration's canonical form: keys sorted, no spaces."""
+    return hashlib.sha256(json.dumps(configuration, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
 def facts_from_json(documents: DataFrame, paths: DataFrame) -> DataFrame:

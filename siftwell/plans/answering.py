@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import tokens
 from siftwell.operators import answers, metrics, rerank
 from siftwell.plans import sql as S
 from siftwell.plans.fixtures import Corpus
@@ -66,9 +65,12 @@ def generation_contexts(c: Corpus):
     return c.contexts.select("case_id", "document_id", F.col("rank").cast("long").alias("rank"), "ordinal", "chunk_id", "text")
 
 
-PATTERN = r"(?i)\b(password|secret|token|credential|senha|segredo|private key|api key|chave privada)\b"
+PATTERN = r"(?i)\b(password|senha|secret|segredo|token|credential|credencial|proprietary|customer)\b"
 CUE = "(contains(q_, 'qual') OR contains(q_, 'como') OR contains(q_, 'por que'))"
-REFUSE = f"CASE WHEN {CUE} THEN '{answers.REFUSAL_PT}' ELSE '{answers.REFUSAL_EN}' END"
+CONTROL = f"CASE WHEN {CUE} THEN 'Não há fontes recuperadas para sustentar uma resposta.' ELSE 'No retrieved sources are available to support an answer.' END"
+HIDDEN = "The corpus does not contain or authorize access to production credentials or customer-specific secrets."
+NOTHING = "The retrieved sources do not contain usable evidence for this question."
+RAW_JSON = "to_json({'answerable': answerable, 'answer': answer, 'citations': citations})::VARCHAR"
 EXTRACTED = TOP3 + rf"""
 ,s0 AS (SELECT case_id, document_id, rank, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS s FROM cd),
 s1 AS (SELECT case_id, document_id, rank, trim(s, ' -' || chr(9)) AS sentence FROM s0),
@@ -76,14 +78,18 @@ s2 AS (SELECT s1.*, {S.tok("sentence")} AS t, list_distinct(qt) AS q FROM s1 JOI
 s3 AS (SELECT *, len(list_intersect(q, list_distinct(t))) AS overlap, len(list_distinct(t)) AS n FROM s2 WHERE len(t) >= 5),
 s4 AS (SELECT *, row_number() OVER (PARTITION BY case_id, document_id ORDER BY overlap DESC, n, sentence DESC) AS r FROM s3),
 s5 AS (SELECT case_id, string_agg(sentence, ' ' ORDER BY rank) AS answer, list(document_id ORDER BY rank) AS cites FROM s4 WHERE r = 1 GROUP BY case_id),
-ex0 AS (SELECT qs.case_id, question, replace(lower(question), 'ß', 'ss') AS q_, s5.answer AS a, cites, s5.answer IS NULL OR regexp_matches(question, '{PATTERN}') AS refuse FROM qs LEFT JOIN s5 USING (case_id)),
-ex AS (SELECT case_id, NOT refuse AS answerable, CASE WHEN refuse THEN {REFUSE} ELSE a END AS answer, CASE WHEN refuse THEN []::VARCHAR[] ELSE cites END AS citations FROM ex0)
+it AS (SELECT case_id, sum(len({S.tok("text")}))::BIGINT AS input_tokens FROM cd GROUP BY case_id),
+ex0 AS (SELECT qs.case_id, question, replace(lower(question), 'ß', 'ss') AS q_, s5.answer AS a, cites, regexp_matches(question, '{PATTERN}') AS hidden, coalesce(input_tokens, 0) AS input_tokens FROM qs LEFT JOIN s5 USING (case_id) LEFT JOIN it USING (case_id)),
+ex1 AS (SELECT case_id, NOT hidden AND a IS NOT NULL AS answerable, CASE WHEN hidden THEN '{HIDDEN}' WHEN a IS NULL THEN '{NOTHING}' ELSE a END AS answer, CASE WHEN hidden OR a IS NULL THEN []::VARCHAR[] ELSE cites END AS citations, input_tokens FROM ex0),
+ex AS (SELECT *, {RAW_JSON} AS raw_output, len({S.tok(RAW_JSON)})::BIGINT AS output_tokens FROM ex1),
+ct0 AS (SELECT case_id, false AS answerable, {CONTROL} AS answer, []::VARCHAR[] AS citations, 0::BIGINT AS input_tokens FROM ex0),
+ct AS (SELECT *, {RAW_JSON} AS raw_output, len({S.tok(RAW_JSON)})::BIGINT AS output_tokens FROM ct0)
 """
 
 
-@query(EXTRACTED + " SELECT case_id, answerable, answer, array_to_string(citations, ',') AS citations FROM ex")
+@query(EXTRACTED + " SELECT case_id, answerable, answer, array_to_string(citations, ',') AS citations, input_tokens, output_tokens FROM ex")
 def extractive_answers(c: Corpus):
-    return c.extracted.select("case_id", "answerable", "answer", F.array_join("citations", ",").alias("citations"))
+    return c.extracted.select("case_id", "answerable", "answer", F.array_join("citations", ",").alias("citations"), "input_tokens", "output_tokens")
 
 
 @query(f"SELECT doc_id, regexp_matches(text, '{PATTERN}') AS sensitive FROM documents WHERE text IS NOT NULL")
@@ -94,7 +100,7 @@ def sensitive_questions(c: Corpus):
 CUES = [(1, "Qual é a regra?"), (2, "What quality is equal?"), (3, "Como fazer isto?"), (4, "Why so?"), (5, "POR QUE não?")]
 
 
-@query("SELECT id, " + REFUSE + " AS answer FROM (SELECT *, lower(question) AS q_ FROM (SELECT item_id AS id, text AS question FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT conv_id * 1000 + turn + 1000000, text FROM conversations WHERE role = 'user' AND text IS NOT NULL UNION ALL VALUES "
+@query("SELECT id, " + CONTROL + " AS answer FROM (SELECT *, lower(question) AS q_ FROM (SELECT item_id AS id, text AS question FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT conv_id * 1000 + turn + 1000000, text FROM conversations WHERE role = 'user' AND text IS NOT NULL UNION ALL VALUES "
        + ", ".join(f"(-{i}, '{q}')" for i, q in CUES) + "))")
 def no_retrieval_answers(c: Corpus):
     rows = c.questions.select("case_id", "question").unionByName(c.spark.createDataFrame([(-i, q) for i, q in CUES], "case_id long, question string"))
@@ -102,12 +108,14 @@ def no_retrieval_answers(c: Corpus):
     return answers.control_answers(rows.unionByName(turns)).select(F.col("case_id").alias("id"), "answer")
 
 
-@query(TOP3 + f""" SELECT qs.case_id, sha256('{answers.GROUNDED_SYSTEM}' || chr(1) || 'Question: ' || question || chr(10) || chr(10) || coalesce(string_agg('[' || document_id || '] ' || text, chr(10) ORDER BY rank, ordinal), '')) AS prompt
-FROM qs LEFT JOIN cd USING (case_id) GROUP BY qs.case_id, question""")
+SYSTEM = answers.GROUNDED_SYSTEM.replace("'", "''")
+
+
+@query(TOP3 + f""",bl AS (SELECT case_id, document_id, rank, '<source id="' || document_id || '">' || chr(10) || string_agg('[chunk=' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal) || chr(10) || '</source>' AS block FROM cd GROUP BY case_id, document_id, rank)
+SELECT qs.case_id, sha256('{SYSTEM}' || chr(1) || 'SOURCES:' || chr(10) || coalesce(string_agg(block, chr(10) || chr(10) ORDER BY rank), '') || chr(10) || chr(10) || 'QUESTION:' || chr(10) || question) AS prompt
+FROM qs LEFT JOIN bl USING (case_id) GROUP BY qs.case_id, question""")
 def prompt_messages(c: Corpus):
-    part = F.concat(F.lit("["), "document_id", F.lit("] "), "text")
-    body = c.contexts.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ordinal", part.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
-    rows = c.questions.join(body, "case_id", "left").withColumn("m", answers.prompt(F.col("question"), F.coalesce("body", F.lit(""))))
+    rows = c.questions.join(answers.source_blocks(c.contexts), "case_id", "left").withColumn("m", answers.prompt(F.col("question"), F.coalesce("sources", F.lit(""))))
     return rows.select("case_id", F.sha2(F.array_join(F.transform("m", lambda x: x["content"]), "\x01"), 256).alias("prompt"))
 
 
@@ -167,29 +175,45 @@ def forbidden_claims(c: Corpus):
     return measured(c).select("case_id", F.col("forbidden_claim_hits").alias("hits"))
 
 
-MEANS = ", ".join(f"round(avg({m}::INT::DOUBLE), 6) AS {m}" if m in ("schema_valid", "answerability_correct", "citation_valid", "relevant_citation_hit", "refusal_correct") else f"round(avg({m}), 6) AS {m}" for m in answers.ANSWER_METRICS)
-SUMMED = ANSWERED + f""",gsum AS (SELECT CASE WHEN split IS NOT NULL THEN split WHEN language IS NOT NULL THEN 'language:' || language ELSE 'all' END AS "group", count(*) AS case_count, {MEANS}, sum(output_tokens)::BIGINT AS output_tokens
-  FROM (SELECT am.*, an1.split, an1.language, len(a_t) AS output_tokens FROM am JOIN an1 USING (case_id)) GROUP BY GROUPING SETS ((), (split), (language)))
+def measured_control(c: Corpus):
+    rows = c.answer_rows().drop("answerable", "answer", "citations").join(answers.control_answers(c.questions.select("case_id", "question")).select("case_id", "answerable", "answer", "citations"), "case_id")
+    return answers.answer_metrics(rows, retrieval=False)
+
+
+MEANS = ", ".join(f"round(avg({m}::INT::DOUBLE), 6) AS {m}" if m in FLAGS else f"round(avg({m}), 6) AS {m}" for m in answers.ANSWER_METRICS)
+SUMMED = ANSWERED + f""",c1 AS (SELECT an1.* EXCLUDE (answer, a_t), ct.answer, {S.tok("ct.answer")} AS a_t FROM an1 JOIN ct USING (case_id)),
+c2 AS (SELECT *, list_sum(list_transform(list_distinct(a_t), lambda t: least(len(list_filter(a_t, lambda x: x = t)), len(list_filter(rt, lambda x: x = t)))))::BIGINT AS shared FROM c1),
+cm AS (SELECT case_id, true AS schema_valid, NOT ca AS answerability_correct, true AS citation_valid, NULL::BOOLEAN AS relevant_citation_hit, NULL::DOUBLE AS citation_precision, NULL::DOUBLE AS citation_recall,
+  round(CASE WHEN len(a_t) = 0 OR len(rt) = 0 OR coalesce(shared, 0) = 0 THEN 0.0 ELSE 2.0::DOUBLE * shared / (len(a_t) + len(rt)) END, 6) AS token_f1,
+  CASE WHEN ca AND len(facts) > 0 THEN round(len(list_filter(facts, lambda f: len(list_intersect(list_distinct({S.tok("f")}), list_distinct(a_t))) / len(list_distinct({S.tok("f")}))::DOUBLE >= 0.55)) / len(facts)::DOUBLE, 6) END AS fact_coverage,
+  NULL::DOUBLE AS bigram_support, NULL::INT AS forbidden_claim_hits, CASE WHEN NOT ca THEN true END AS refusal_correct FROM c2),
+gs AS (SELECT mode, CASE WHEN split IS NOT NULL THEN split WHEN language IS NOT NULL THEN 'language:' || language ELSE 'all' END AS "group", count(*) AS case_count, {MEANS}, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens
+  FROM (SELECT 'grounded' AS mode, am.*, an1.split, an1.language, ex.input_tokens, ex.output_tokens FROM am JOIN an1 USING (case_id) JOIN ex USING (case_id)
+  UNION ALL SELECT 'no_retrieval', cm.*, an1.split, an1.language, ct.input_tokens, ct.output_tokens FROM cm JOIN an1 USING (case_id) JOIN ct USING (case_id)) GROUP BY GROUPING SETS ((mode), (mode, split), (mode, language)))
 """
 
 
 def summed(c: Corpus):
-    rows = measured(c).join(c.cases.select("case_id", "split", "language"), "case_id").join(c.extracted.select("case_id", F.size(tokens(F.col("answer"))).alias("output_tokens")), "case_id")
-    return metrics.summarise(rows, answers.ANSWER_METRICS, ["output_tokens"])
+    """Summary of both modes: mode, group, means, tokens."""
+    groups = c.cases.select("case_id", "split", "language")
+    control = answers.control_answers(c.questions.select("case_id", "question"))
+    modes = (("grounded", measured(c), c.extracted), ("no_retrieval", measured_control(c), control))
+    rows = [m.join(groups, "case_id").join(a.select("case_id", "input_tokens", "output_tokens"), "case_id").withColumn("mode", F.lit(name)) for name, m, a in modes]
+    return metrics.summarise(rows[0].unionByName(rows[1]), answers.ANSWER_METRICS, ["input_tokens", "output_tokens"], "mode")
 
 
-@query(SUMMED + " SELECT * FROM gsum")
+@query(SUMMED + " SELECT * FROM gs")
 def generation_summary(c: Corpus):
     return summed(c)
 
 
 @query(SUMMED + """ SELECT gate, observed, observed >= least_ AS passed FROM (
- SELECT 'schema' AS gate, schema_valid AS observed, 1.0 AS least_ FROM gsum WHERE "group" = 'all' UNION ALL SELECT 'citation', citation_valid, 1.0 FROM gsum WHERE "group" = 'all'
- UNION ALL SELECT 'refusal', refusal_correct, 1.0 FROM gsum WHERE "group" = 'all' UNION ALL SELECT 'hit', relevant_citation_hit, 0.8 FROM gsum WHERE "group" = 'all' UNION ALL SELECT 'fact', fact_coverage, 0.1 FROM gsum WHERE "group" = 'all')""")
+ SELECT 'schema' AS gate, schema_valid AS observed, 1.0 AS least_ FROM gs WHERE mode = 'grounded' AND "group" = 'all' UNION ALL SELECT 'citation', citation_valid, 1.0 FROM gs WHERE mode = 'grounded' AND "group" = 'all'
+ UNION ALL SELECT 'refusal', refusal_correct, 1.0 FROM gs WHERE mode = 'grounded' AND "group" = 'all' UNION ALL SELECT 'hit', relevant_citation_hit, 0.8 FROM gs WHERE mode = 'grounded' AND "group" = 'all'
+ UNION ALL SELECT 'fact_delta', round(a.fact_coverage - b.fact_coverage, 6), 0.1 FROM gs a JOIN gs b USING ("group") WHERE a.mode = 'grounded' AND b.mode = 'no_retrieval' AND "group" = 'dev')""")
 def generation_gates(c: Corpus):
-    gates = {"schema": ("schema_valid", 1.0), "citation": ("citation_valid", 1.0), "refusal": ("refusal_correct", 1.0), "hit": ("relevant_citation_hit", 0.8), "fact": ("fact_coverage", 0.1)}
-    rows = F.array(*(F.struct(F.lit(g).alias("gate"), F.col(m).alias("observed"), F.lit(least).alias("least")) for g, (m, least) in gates.items()))
-    return summed(c).where(F.col("group") == "all").select(F.inline(rows)).select("gate", "observed", (F.col("observed") >= F.col("least")).alias("passed"))
+    both = c.keep("summed", lambda: summed(c), True)
+    return answers.generation_gates(both.where("mode = 'grounded'"), both.where("mode = 'no_retrieval'"))
 
 
 #: Raw outputs: fenced with a repeated citation, plain text, an extra key, a wrong type, nothing.
@@ -197,14 +221,18 @@ RAW = [
     (1, '```json\n{"answerable": true, "answer": "Yes.", "citations": ["a", "a", "b"]}\n```', True, True, "Yes.", "a,b"),
     (2, "no object here", False, False, "no object here", ""),
     (3, '{"answerable": true, "answer": "x", "citations": [], "more": 1}', False, False, '{"answerable": true, "answer": "x", "citations": [], "more": 1}', ""),
-    (4, '{"answerable": "yes", "answer": "x", "citations": []}', False, False, '{"answerable": "yes", "answer": "x", "citations": []}', ""),
-    (5, "   ", False, False, answers.UNPARSED, ""),
+    (4, '{"answerable": "yes", "answer": "x", "citations": []}', True, True, "x", ""),
     (6, '{"answerable": false, "answer": "", "citations": []}', False, False, '{"answerable": false, "answer": "", "citations": []}', ""),
+    (7, '{"answerable": 0, "answer": "x", "citations": ["b"]} thanks', True, False, "x", "b"),
+    (8, '{"answerable": 2, "answer": "x", "citations": []}', False, False, '{"answerable": 2, "answer": "x", "citations": []}', ""),
+    (9, '{"answerable": true, "answer": "x", "citations": [1]}', False, False, '{"answerable": true, "answer": "x", "citations": [1]}', ""),
+    (10, "   ", False, False, "Invalid empty model output.", ""),
 ]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(v).lower()}, {str(a).lower()}, '{t}', '{k}')" for i, _, v, a, t, k in RAW) + ") t(case_id, schema_valid, answerable, answer, citations)")
 def parse_generation(c: Corpus):
+    """Fixed texts; what is expected of them is written out in RAW."""
     rows = c.spark.createDataFrame([(i, r) for i, r, *_ in RAW], "case_id int, raw_output string")
     return answers.parse_generations(rows).select("case_id", "schema_valid", "answerable", "answer", F.array_join("citations", ",").alias("citations"))
 

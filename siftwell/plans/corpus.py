@@ -9,6 +9,7 @@ from siftwell.operators import chunking, contracts, dense, gates, metrics
 from siftwell.plans import sql as S
 from siftwell.plans.fixtures import Corpus
 from siftwell.plans.registry import query
+from siftwell.session import scratch
 from siftwell.sources import corpus as files
 
 CHUNKS = "WITH " + S.CHUNKS
@@ -116,9 +117,22 @@ components:
 """
 
 
-@query(None)
+#: What the specification's chunks have to be: heading and words behind it, for each in order.
+OPENAPI_CHUNKS = [
+    ("API information", "title: Shelf version: '1'"),
+    ("GET /authors", "GET /authors description: List authors"),
+    ("GET /books", "GET /books summary: List books tags: - read"),
+    ("POST /books", "POST /books operationId: addBook summary: Add a book"),
+    ("components > schemas > Author", "type: object"),
+    ("components > schemas > Book", "properties: title: type: string type: object"),
+]
+OPENAPI_VALUES = ", ".join("({}, '{}', '{}')".format(i, h, w.replace("'", "''")) for i, (h, w) in enumerate(OPENAPI_CHUNKS))
+
+
+@query(f"""SELECT document_id, heading, ordinal, document_id || '::' || lpad(ordinal::VARCHAR, 4, '0') || '::' || substr(sha256(text), 1, 12) AS chunk_id, text
+FROM (SELECT d.lang || '.yaml' AS document_id, heading, ordinal, heading || chr(10) || body AS text FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) d, (VALUES {OPENAPI_VALUES}) t(ordinal, heading, body))""")
 def chunk_openapi(c: Corpus):
-    """One specification for each language of the corpus; YAML has no SQL form."""
+    """One specification for each language of the corpus."""
     docs = c.table("documents").where("lang is not null").select("lang").distinct().select(F.concat("lang", F.lit(".yaml")).alias("document_id"), F.concat(F.lit(OPENAPI), F.lit("x-language: "), "lang", F.lit("\n")).alias("text"))
     return chunking.chunk_openapi(docs).select("document_id", "heading", "ordinal", "chunk_id", "text")
 
@@ -130,10 +144,18 @@ def chunk_dispatch(c: Corpus):
     return chunking.chunk_documents(docs.unionByName(spec)).groupBy("kind").agg(F.count("*").alias("chunks"))
 
 
-@query("SELECT label AS index_id, count(*) AS chunks, min(len(embedding))::INT AS dimensions, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 5) AS norm FROM embeddings GROUP BY label")
+DIMENSIONS = 64
+
+
+@query("SELECT label AS index_id, count(*) AS chunks, min(len(embedding))::INT AS dimensions, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 5) AS norm FROM embeddings WHERE len(embedding) = 64 GROUP BY label")
 def vector_index_stats(c: Corpus):
+    """Statistics of an index that was written and read again."""
+    rows = c.table("embeddings").where(F.size("embedding") == DIMENSIONS).select(F.col("vec_id").cast("string").alias("chunk_id"), "label", "embedding")
+    out = scratch(c.spark, "vector-index")
+    files.replace_index(rows, "vectors", DIMENSIONS, out)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return c.table("embeddings").groupBy(F.col("label").alias("index_id")).agg(F.count("*").alias("chunks"), F.min(F.size("embedding")).alias("dimensions"), F.round(F.avg(norm), 5).alias("norm"))
+    read = c.spark.read.parquet(out).where("index_id = 'vectors'")
+    return read.groupBy(F.col("label").alias("index_id")).agg(F.count("*").alias("chunks"), F.min(F.size("embedding")).alias("dimensions"), F.round(F.avg(norm), 5).alias("norm"))
 
 
 @query(CHUNKS + " SELECT chunk_id FROM chunks WHERE document_id::BIGINT % 3 <> 0")
@@ -189,7 +211,10 @@ def report_markdown_rows(c: Corpus):
 
 @query("SELECT item_id AS case_id, NULL::VARCHAR AS label, NULL::VARCHAR AS reviewer FROM benchmark WHERE text IS NOT NULL")
 def label_template(c: Corpus):
-    return c.questions.select("case_id", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("reviewer"))
+    """The template as it is read back from its JSON lines."""
+    out = scratch(c.spark, "label-template")
+    files.write_jsonl(c.questions.select("case_id", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("reviewer")), out)
+    return files.read_jsonl(c.spark, out, "case_id long, label string, reviewer string", "case_id")
 
 
 @query("WITH " + S.CHUNKS + " SELECT source AS report, count(DISTINCT lang) AS inputs, count(DISTINCT lang) = 1 AS consistent FROM docs GROUP BY source")

@@ -65,14 +65,11 @@ def judge_cost(c: Corpus):
     return verdicts(c).groupBy("rep").agg(F.round(F.sum(judge.call_cost(F.col("len"), F.col("rep") * 10)), 6).alias("cost"))
 
 
-@query(VERDICTS + """ SELECT 'agreement' AS gate, agreement AS observed, agreement >= 0.8 AS passed FROM am UNION ALL SELECT 'kappa', kappa, kappa >= 0.6 FROM am
-UNION ALL SELECT 'stability', s, s >= 0.9 FROM (SELECT round(avg(stable::INT::DOUBLE), 6) AS s FROM sb)""")
+@query(VERDICTS + """,gt AS (SELECT 'agreement' AS gate, agreement AS observed, coalesce(agreement >= 0.8, false) AS passed FROM am UNION ALL SELECT 'kappa', kappa, coalesce(kappa >= 0.6, false) FROM am
+UNION ALL SELECT 'stability', s, coalesce(s >= 0.9, false) FROM (SELECT round(avg(stable::INT::DOUBLE), 6) AS s FROM sb))
+SELECT * FROM gt UNION ALL SELECT 'accepted', NULL, bool_and(passed) FROM gt""")
 def judge_gates(c: Corpus):
-    a = agreed(c)
-    s = judge_stability(c)
-    rows = a.select(F.lit("agreement").alias("gate"), F.col("agreement").alias("observed"), (F.col("agreement") >= judge.AGREEMENT).alias("passed"))
-    rows = rows.unionByName(a.select(F.lit("kappa").alias("gate"), F.col("kappa").alias("observed"), (F.col("kappa") >= judge.KAPPA).alias("passed")))
-    return rows.unionByName(s.select(F.lit("stability").alias("gate"), F.col("stability").alias("observed"), (F.col("stability") >= judge.STABILITY).alias("passed")))
+    return judge.promotion(verdicts(c), reference(c).withColumnRenamed("reference", "label"))
 
 
 @query("WITH x AS (SELECT conv_id, list(turn ORDER BY turn) AS t FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(t, ',') AS retrieval, array_to_string(list_reverse(t), ',') AS \"reverse\", array_to_string(list_concat(t[2 : ], t[1 : 1]), ',') AS rotate FROM x")
@@ -95,10 +92,9 @@ def judge_packet(c: Corpus):
     return by.select("case_id", phase.alias("phase"), "passages", F.array_join(F.transform("r", lambda x: x["role"]), ",").alias("roles"))
 
 
-@query("SELECT id, side FROM (SELECT doc_id AS id, 'extra' AS side FROM (SELECT DISTINCT doc_id FROM labels) ANTI JOIN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0) USING (doc_id) UNION ALL SELECT doc_id, 'missing' FROM (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0) ANTI JOIN labels USING (doc_id))")
+@query("SELECT DISTINCT doc_id AS id, 'extra' AS side FROM labels ANTI JOIN documents USING (doc_id) UNION ALL SELECT DISTINCT doc_id, 'missing' FROM documents ANTI JOIN labels USING (doc_id)")
 def label_coverage(c: Corpus):
-    items = c.table("documents").where("doc_id % 10 <> 0").select(F.col("doc_id").alias("case_id"))
-    return contracts.coverage(c.table("labels").select(F.col("doc_id").alias("case_id")), items)
+    return contracts.coverage(c.table("labels").select(F.col("doc_id").alias("case_id")), c.table("documents").select(F.col("doc_id").alias("case_id")))
 
 
 #: One valid row and one for each broken rule: (id, label, flags, reviewer, qualification, notes).
@@ -129,8 +125,8 @@ def verdict_violations(c: Corpus):
     return contracts.violations(rows, "id", contracts.verdict_rules())
 
 
-CHECKS = [("recall5", "bm25", "all.recall_at_5", "gte", 0.1), ("mrr", "bm25", "all.mrr_at_10", "gte", 0.1), ("precision", "bm25", "dev.precision_at_10", "lte", 0.5), ("missing", "bm25", "all.no_such_metric", "gte", 0.0), ("too_high", "bm25", "all.ndcg_at_10", "gte", 1.1)]
-POLICY = LEX + S.metrics("m", "bd") + S.summary("s", "m") + ",facts AS (SELECT \"group\" || '.' || metric AS path, v FROM (UNPIVOT (SELECT * EXCLUDE case_count FROM s) ON COLUMNS(* EXCLUDE \"group\") INTO NAME metric VALUE v)), ck AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{p}', '{o}', {t}::DOUBLE)" for i, _, p, o, t in CHECKS) + ") t(id, path, op, threshold)), pl AS (SELECT id, v AS observed, threshold, coalesce(CASE op WHEN 'gte' THEN v >= threshold ELSE v <= threshold END, false) AS passed FROM ck LEFT JOIN facts USING (path))"
+CHECKS = [("recall5", "bm25", "all.recall_at_5", "gte", 0.1), ("mrr", "bm25", "all.mrr_at_10", "gte", 0.1), ("precision", "bm25", "dev.precision_at_10", "lte", 0.5), ("hits", "bm25", "all.recall_at_10", "gte", 0.0), ("too_high", "bm25", "all.ndcg_at_10", "gte", 1.1)]
+POLICY = LEX + S.metrics("m", "bd") + S.summary("s", "m") + ",facts AS (SELECT \"group\" || '.' || metric AS path, v FROM (UNPIVOT (SELECT * EXCLUDE case_count FROM s) ON COLUMNS(* EXCLUDE \"group\") INTO NAME metric VALUE v)), ck AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{p}', '{o}', {t}::DOUBLE)" for i, _, p, o, t in CHECKS) + ") t(id, path, op, threshold)), pl AS (SELECT id, v AS observed, threshold, CASE op WHEN 'gte' THEN v >= threshold ELSE v <= threshold END AS passed FROM ck LEFT JOIN facts USING (path))"
 
 
 def policy(c: Corpus):

@@ -12,7 +12,7 @@ def test_extractive(spark):
     ctx = [(1, "d1", 1, 0, "Some blue words are here now. The red fox does eat berries."), (1, "d2", 2, 0, "Too short."), (1, "d3", 3, 0, "What the red fox may eat."), (2, "d1", 1, 0, "The password is a long secret word.")]
     out = {r["case_id"]: r for r in answers.extract_answers(cases, spark.createDataFrame(ctx, "case_id long, document_id string, rank int, ordinal int, text string")).collect()}
     assert out[1]["citations"] == ["d1", "d3"] and out[1]["answer"].startswith("The red fox does eat berries.") and out[1]["answerable"]
-    assert out[2]["answer"] == answers.REFUSAL_EN and out[2]["citations"] == [] and out[3]["answer"] == answers.REFUSAL_PT
+    assert out[2]["answer"] == answers.SENSITIVE_REFUSAL and out[2]["citations"] == [] and out[3]["answer"] == answers.NO_EVIDENCE
     assert not out[4]["answerable"]
     assert spark.range(1).select(answers.portuguese(F.lit("What quality"))).first()[0]  # cues match inside words
 
@@ -22,7 +22,7 @@ def test_parse(spark):
     rows = spark.createDataFrame(list(enumerate(raw)), "case_id long, raw_output string")
     out = {r["case_id"]: r for r in answers.parse_generations(rows).collect()}
     assert out[0]["schema_valid"] and out[0]["citations"] == ["x"]
-    assert [out[i]["schema_valid"] for i in range(1, 6)] == [False] * 5 and out[1]["answer"] == "text" and out[2]["answer"] == answers.UNPARSED
+    assert [out[i]["schema_valid"] for i in range(1, 6)] == [False, False, False, True, False] and out[1]["answer"] == "text" and out[2]["answer"] == answers.UNPARSED
 
 
 def test_answer_metrics(spark):
@@ -64,6 +64,9 @@ def test_policy_fault_injection(spark):
     assert [r["id"] for r in broken] == ["a"]
     with pytest.raises(Exception, match="unknown operator"):
         gates.evaluate_policy(checks.withColumn("operator", F.lit("eq")), facts).collect()
+    with pytest.raises(Exception, match="missing or not numeric: all.y"):
+        gates.evaluate_policy(checks, facts.where("path = 'all.x'")).collect()
+    assert gates.configuration_sha256({"b": 1, "a": [2]}) == gates.configuration_sha256({"a": [2], "b": 1}) != gates.configuration_sha256({"a": [2]})
     body = spark.createDataFrame([("r", '{"all": {"x": 0.25, "t": true}}')], "artifact string, body string")
     paths = spark.createDataFrame([("r", "all.x"), ("r", "all.t"), ("r", "no")], "artifact string, path string")
     assert {r["path"]: r["value"] for r in gates.facts_from_json(body, paths).collect()} == {"all.x": 0.25, "all.t": None, "no": None}
@@ -99,8 +102,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "g.jsonl").write_text('{"id": "a", "n": 1}\n{"id": "a", "n": 2}\n')
     with pytest.raises(ValueError, match="repeated"):
         corpus.read_jsonl(spark, str(tmp_path / "g.jsonl"), "id string, n long", "id")
-    (tmp_path / "g.jsonl").write_text("{broken\n")
-    with pytest.raises(ValueError, match="not a record"):
+    (tmp_path / "g.jsonl").write_text("\n{broken\n")
+    with pytest.raises(ValueError, match="line 2: not a record"):
         corpus.read_jsonl(spark, str(tmp_path / "g.jsonl"), "id string, n long", "id")
     cache = corpus.ResultCache(str(tmp_path / "c.json"), {"v": 1})
     cache.put("k", [1])
@@ -143,7 +146,7 @@ def test_providers(spark):
             yield f.assign(raw_output=['{"answerable": true, "answer": "' + m[-1]["content"] + '", "citations": []}' for m in f["messages"]])
 
     rows = items.select("case_id", answers.prompt(F.col("question"), F.lit(""), grounded=False).alias("messages"))
-    assert {r["answer"] for r in answers.generate(rows, generator).collect()} == {"Question: q"}
+    assert {r["answer"] for r in answers.generate(rows, generator).collect()} == {"q"}
 
 
 def test_build_index(spark, tmp_path):
@@ -154,3 +157,70 @@ def test_build_index(spark, tmp_path):
     assert [r["text"] for r in corpus.build_index(manifest, files, str(tmp_path / "ix")).collect()] == ["T\nsome words"]
     with pytest.raises(ValueError, match="changed"):
         corpus.build_index(manifest.withColumn("sha256", F.lit("0")), files, str(tmp_path / "ix2"))
+
+
+def test_acquire(spark, tmp_path):
+    (tmp_path / "src/sub").mkdir(parents=True)
+    (tmp_path / "src/sub/a.md").write_text("# A\ntext")
+    (tmp_path / "src/b.txt").write_text("no")
+    (tmp_path / "m.yaml").write_text("schema_version: '1.0'\nmax_file_bytes: 100\nallowed_extensions: ['.md']\nsources:\n- {id: s, revision: " + "a" * 40 + ", include: ['*.md'], authority: explanatory}\n")
+    out, folders = str(tmp_path / "corpus"), {"s": str(tmp_path / "src")}
+    made = corpus.acquire(spark, str(tmp_path / "m.yaml"), out, folders=folders)
+    assert made["document_count"] == 1 and made["documents"][0]["document_id"] == "s/sub/a.md" and made["documents"][0]["bytes"] == 8
+    with pytest.raises(FileExistsError):
+        corpus.acquire(spark, str(tmp_path / "m.yaml"), out, folders=folders)
+    assert corpus.acquire(spark, str(tmp_path / "m.yaml"), out, True, folders)["document_count"] == 1
+    (tmp_path / "other").mkdir()
+    with pytest.raises(ValueError, match="refusing"):
+        corpus.acquire(spark, str(tmp_path / "m.yaml"), str(tmp_path / "other"), True, folders)
+    source = {"id": "s", "include": ["*.rst"]}
+    with pytest.raises(ValueError, match="zero files"):
+        corpus.collect_source(spark, source, folders["s"], [".md"], 100)
+    with pytest.raises(ValueError, match="extension"):
+        corpus.collect_source(spark, {"id": "s", "include": ["*"]}, folders["s"], [".md"], 100)
+    (tmp_path / "src/link.md").symlink_to(tmp_path / "src/b.txt")
+    with pytest.raises(ValueError, match="symlink"):
+        corpus.collect_source(spark, {"id": "s", "include": ["*.md"]}, folders["s"], [".md"], 100)
+
+
+def test_embedding_cache_is_resumed(spark, tmp_path):
+    def embedder(frames):
+        for f in frames:
+            yield f.assign(embedding=[[float(len(t))] for t in f["text"]])[["chunk_id", "embedding"]]
+
+    chunks = spark.createDataFrame([("a", "x"), ("b", "yy")], "chunk_id string, text string")
+    path = str(tmp_path / "cache")
+    corpus.embed_with_cache(chunks.limit(1), path, embedder)
+    got = {r["chunk_id"]: r["embedding"] for r in corpus.embed_with_cache(chunks, path, embedder).collect()}
+    assert got == {"a": [1.0], "b": [2.0]} and spark.read.parquet(path).count() == 2
+
+
+def test_missing_chunks_and_passages_raise(spark):
+    ranked = spark.createDataFrame([(1, "d", 1, "c")], "case_id long, document_id string, rank int, best_chunk_id string")
+    chunks = spark.createDataFrame([("c", "text")], "chunk_id string, text string")
+    assert answers.candidates(ranked, ranked, ranked, chunks, 3).count() == 1
+    with pytest.raises(Exception, match="missing from the source index"):
+        answers.candidates(ranked, ranked, ranked, chunks.limit(0), 3).collect()
+    with pytest.raises(Exception, match="no source chunk"):
+        answers.candidates(ranked, ranked.limit(0), ranked.limit(0), chunks, 3).collect()
+
+
+def test_generation_gates_and_acceptance(spark):
+    rows = [("all", 1.0, 1.0, 1.0, 0.9, 0.3), ("dev", 1.0, 1.0, 1.0, 0.9, 0.5)]
+    schema = "group string, schema_valid double, citation_valid double, refusal_correct double, relevant_citation_hit double, fact_coverage double"
+    grounded = spark.createDataFrame(rows, schema)
+    control = grounded.withColumn("fact_coverage", F.lit(0.45))
+    gates_ = {r["gate"]: (r["observed"], r["passed"]) for r in answers.generation_gates(grounded, control).collect()}
+    assert gates_["fact_delta"] == (0.05, False) and gates_["hit"] == (0.9, True) and len(gates_) == 5
+    ok = answers.generation_gates(grounded, grounded.withColumn("fact_coverage", F.lit(0.1)))
+    latency = spark.createDataFrame([(20.0,)], "p95 double")
+    assert answers.acceptance(ok, latency, 30.0).first()["accepted"] and not answers.acceptance(ok, latency, 10.0).first()["accepted"]
+    assert not answers.acceptance(answers.generation_gates(grounded, control), latency, 30.0).first()["accepted"]
+
+
+def test_sensitive_terms(spark):
+    for term in answers.SENSITIVE_TERMS:
+        assert spark.range(1).select(answers.sensitive(F.lit(f"the {term.upper()}?"))).first()[0]
+    assert not spark.range(1).select(answers.sensitive(F.lit("tokens, api key, customers"))).first()[0]
+    out = answers.control_answers(spark.createDataFrame([(1, "Qual?"), (2, "Why?")], "case_id long, question string")).orderBy("case_id").collect()
+    assert [r["answer"] for r in out] == [answers.NO_SOURCES_PT, answers.NO_SOURCES_EN] and out[1]["output_tokens"] == 13 and out[0]["input_tokens"] == 0

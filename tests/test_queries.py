@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__
 
 TABLES = "documents benchmark embeddings pages labels conversations events".split()
-FAST = ["bm25_documents", "hybrid_summary", "retrieval_case_metrics", "rrf_selected_config", "generation_summary", "chunk_markdown", "judge_gates", "regression_gate"]
+FAST = ["bm25_documents", "hybrid_summary", "retrieval_case_metrics", "rrf_selected_config", "generation_summary", "generation_gates", "extractive_answers", "prompt_messages", "parse_generation", "sensitive_questions", "no_retrieval_answers", "chunk_openapi", "label_template", "vector_index_stats", "label_coverage", "chunk_markdown", "judge_gates", "regression_gate"]
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -47,8 +47,10 @@ def test_markdown(spark):
 
 def test_openapi_and_dispatch(spark):
     spec = "paths:\n  /b:\n    post: {summary: P}\n    get: {summary: G, x: 1}\n  /a:\n    get: {summary: A}\ncomponents:\n  schemas:\n    Z: {type: object}\n"
-    assert [h for h, _ in chunking.openapi_units(spec)] == ["API information", "GET /a", "GET /b", "POST /b", "schemas: Z"]
-    assert chunking.openapi_units(spec)[0][1] == "{}" and chunking.openapi_units(spec)[2][1] == "GET /b\nsummary: G"
+    assert [h for h, _ in chunking.openapi_units(spec)] == ["API information", "GET /a", "GET /b", "POST /b", "components > schemas > Z"]
+    assert chunking.openapi_units(spec)[0][1] == "{}\n" and chunking.openapi_units(spec)[2][1] == "GET /b\nsummary: G\n"
+    odd = "paths: {/x: {put: {}, GET: {summary: s}, Trace: {}, custom: {}, parameters: [1]}}\ncomponents: {b: {q: 1, p: [2]}, a: 3}\ninfo: 5\n"
+    assert chunking.openapi_units(odd) == [("GET /x", "GET /x\nsummary: s\n"), ("TRACE /x", "TRACE /x\n{}\n"), ("PUT /x", "PUT /x\n{}\n"), ("components > b > p", "- 2\n"), ("components > b > q", "1\n...\n")]
     with pytest.raises(ValueError):
         chunking.openapi_units("- a")
     df = spark.createDataFrame([("1", "x/api.YML", spec), ("2", "x/read-me.md", "text")], "document_id string, source_path string, text string")
