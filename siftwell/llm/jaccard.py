@@ -614,3 +614,16 @@ def op7_jaccard(spark, sf_dir):
     alone = empty.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return found.select(known("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known("component").alias("component_id")).unionByName(alone)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS ws FROM documents),
+sh AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sh),
+p AS (SELECT a.doc_id AS d1, b.doc_id AS d2, count(*) AS both_, any_value(a.n) AS n1, any_value(b.n) AS n2 FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT d1, d2 FROM p WHERE 100 * both_ >= 90 * (n1 + n2 - both_)),
+l AS (SELECT d1, d2 FROM e UNION ALL SELECT d2, d1 FROM e),
+r AS (SELECT DISTINCT d1 AS id, d1 AS m FROM l UNION SELECT l.d2, r.m FROM r JOIN l ON l.d1 = r.id)
+SELECT sh.doc_id, len(s)::BIGINT AS n_shingles, coalesce(m, sh.doc_id) AS component_id FROM sh LEFT JOIN (SELECT id, min(m) AS m FROM r GROUP BY id) c ON c.id = sh.doc_id
+"""

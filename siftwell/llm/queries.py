@@ -17,4 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE,
+    "op7_jaccard": jaccard.ORACLE,
+    "op8_rlz": rlz.ORACLE,
 }

@@ -321,3 +321,14 @@ def digests(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def op8_rlz(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM w),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS body FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+lost AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+c AS (SELECT t.doc_id, word, t.i, coalesce(max(l.i) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS UNBOUNDED PRECEDING) >= t.i - 19, false) AS gone FROM t LEFT JOIN lost l ON l.doc_id = t.doc_id AND l.i = t.i),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
