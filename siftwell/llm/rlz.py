@@ -1,20 +1,23 @@
-"""Substring deduplication by relative Lempel-Ziv parsing over an anchored, partitioned reference.
+"""Substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks.
 
-Every text is parsed into factors at anchors that its own words choose: of the ``GRAM``-word grams in a
-``WINDOW``-word window, the one with the least hash. The windows that share an anchor form a factor, about seven
-windows long, so equal passages are cut alike wherever they stand. The reference is the whole corpus, held as
-blocks by anchor hash: a factor that a block already holds is copied from its first occurrence as a whole, and
-its words are duplicate spans. Where an anchor stands in different factors (a passage begins, ends or
-changes there), the factors' boundaries are checked window by window against the reference of windows, by the
-same rule: the first occurrence stays, every other is a duplicate span.
+The reference is the whole corpus, cut into blocks that are keyed by anchors: of the ``GRAM``-word grams in a
+``WINDOW``-word window, the one with the least hash is its anchor. The windows in a row that share an anchor form a
+segment, about seven windows long, so equal passages are cut alike wherever they stand, and every window that a segment
+shares with any other text stands in the segment's own block: a document need not be parsed against the other blocks.
 
-Exactness: a window's least gram depends on its words alone, so equal windows always meet under one anchor. First
-means least (doc_id, start). Words are compared by 64-bit hashes; a factor or window by two of them, its own and
-its anchor's.
+A segment that its block already holds as a whole is one factor, copied from its first occurrence. The other segments of a
+block are parsed greedily in order of their places: the block's index gives the first occurrence of the window at the
+current word, the match is extended word by word as far as both go on alike, and the factor of at least ``WINDOW`` words
+becomes a duplicate span. Parsing goes on with the first window that crosses the factor's boundary, so every window there
+is checked; a window that the index lacks is added to it. The first occurrence stays, every other is a duplicate span.
 
-Skew: each map task joins what it holds in chunks of ``CHUNK`` factors before anything is shuffled, and sends
-one row for each anchor, or for each window where an anchor has several factors; a passage that a third of all
-documents share arrives as one row for each chunk, not for each document.
+Exactness: a window's least gram depends on its words alone, so equal windows always meet in one block. First
+means least (doc_id, start). Words are compared by 64-bit hashes.
+
+Skew: each map task joins what it holds in chunks of ``CHUNK`` segments before anything is shuffled, and sends
+one row for each different segment; a passage that a third of all documents share arrives as one row for each chunk,
+not for each document. Blocks of more than ``BLOCK`` different segments (a common phrase in ever other surroundings) are
+split by window: their windows are dealt out by hash and the first of each is found there.
 
 Defined cases: a null text has no words; texts of under WINDOW words lose none; a null doc_id comes first;
 rows of one doc_id are separate documents in the order of a 64-bit hash of the text, and equal rows count as one, so
@@ -33,19 +36,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialize, require, table, words_of
+from siftwell.llm.common import discard, materialize, require, table, words_of
 
 WINDOW = 20
 GRAM = 8
-#: Factors joined in memory before they are sent.
+#: Segments joined in memory before they are sent.
 CHUNK = 200_000
+#: Different segments of a block that one task parses; larger blocks are split by window.
+BLOCK = 4096
 #: Word hashes that a worker keeps.
 CACHE = 200_000
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 NO_ID = -(1 << 63)
-MARK, FACTOR, SEVERAL, PIECE = 0, 1, 2, 3
+MARK, FACTOR, PIECE = 0, 1, 2
 ROWS = "kind tinyint, a long, b long, doc long, tie long, at long, n int"
 
 
@@ -91,8 +96,8 @@ class Prefixes:
         return mixed((self.sums[start + size] - self.sums[start]) * self.down[start])
 
 
-def factors(p: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, content hash, first and last window of each factor of a text with at least one window."""
+def segments(p: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, content hash, first and last window of each segment of a text with at least one window."""
     n = len(p.sums) - 1
     grams = p.runs(np.arange(n - GRAM + 1), GRAM)
     windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1)
@@ -151,68 +156,100 @@ def _windows(out: _Out, a, whash, doc, tie, at) -> None:
 
 
 class _Parse:
-    """Pass 1: factors of every text; joined by chunk."""
+    """Pass 1: segments of every text; joined by chunk. Copies are marked, the first of each is sent on."""
 
     def __init__(self, chunk: int):
         self.chunk = chunk
 
     def __call__(self, batches):
-        self.reset()
-        out = _Out()
+        held, count, out = [], 0, _Out()
         for b in batches:
             for doc, tie, text in zip(*(c.to_pylist() for c in b.columns)):
                 words = words_of(text)
                 if len(words) < WINDOW:
                     continue
-                p = Prefixes(word_hashes(words))
-                anchor, content, first, last = factors(p)
-                self.held.append((anchor, content, np.full(len(anchor), doc), np.full(len(anchor), tie), first, last - first, np.full(len(anchor), len(self.texts))))
-                self.texts.append(p)
-                self.count += len(anchor)
-                if self.count >= self.chunk:
-                    self.flush(out)
+                anchor, content, first, last = segments(Prefixes(word_hashes(words)))
+                held.append((anchor, content, np.full(len(anchor), doc), np.full(len(anchor), tie), first, last - first))
+                count += len(anchor)
+                if count >= self.chunk:
+                    self.flush(held, out)
+                    held, count = [], 0
                     yield from out.batches()
-        if self.held:
-            self.flush(out)
+        if held:
+            self.flush(held, out)
             yield from out.batches()
+        _hashes.clear()
 
-    def reset(self):
-        self.held, self.texts, self.count = [], [], 0
-
-    def flush(self, out: _Out) -> None:
-        a, b, doc, tie, at, more, text = (np.concatenate(c) for c in zip(*self.held))
-        texts = self.texts
-        self.reset()
+    @staticmethod
+    def flush(held, out: _Out) -> None:
+        a, b, doc, tie, at, more = (np.concatenate(c) for c in zip(*held))
         a, b = _signed(a), _signed(b)
         order, new, same = _firsts(a, b, doc, tie, at)
-        lost = order[~same]
+        lost, first = order[~same], order[new]
         out.mark(doc[lost], tie[lost], at[lost], more[lost] + WINDOW)
-        first = order[new]
-        sa = a[first]
-        several = np.zeros(len(first), bool)
-        several[1:] |= sa[1:] == sa[:-1]
-        several[:-1] |= sa[1:] == sa[:-1]
-        one, many = first[~several], first[several]
-        out.add(FACTOR, a[one], b[one], doc[one], tie[one], at[one], more[one])
-        if len(many):
-            keys, lead = np.unique(a[many], return_index=True)
-            out.add(SEVERAL, keys, np.zeros_like(keys), doc[many[lead]], tie[many[lead]], at[many[lead]], 0)
-            sizes = more[many] + 1
-            row = np.repeat(many, sizes)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            place = at[row] + step
-            whash = np.empty(len(row), np.uint64)
-            by_text = np.argsort(text[row], kind="stable")
-            t = text[row][by_text]
-            cuts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            for lo, hi in zip(cuts, [*cuts[1:], len(t)]):
-                own = by_text[lo:hi]
-                whash[own] = texts[t[lo]].runs(place[own], WINDOW)
-            _windows(out, a[row], _signed(whash), doc[row], tie[row], place)
+        out.add(FACTOR, a[first], b[first], doc[first], tie[first], at[first], more[first])
+
+
+class _Segments:
+    """The words, as hashes, of the segments that were asked for."""
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = ([], [], [], [], [])
+            for doc, tie, text, asked in zip(*(c.to_pylist() for c in b.columns)):
+                h = word_hashes(words_of(text))
+                for x in asked:
+                    for column, value in zip(rows, (x["a"], doc, tie, x["at"], h[x["at"] : x["at"] + x["n"] + WINDOW].tobytes())):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(rows[4], pa.binary())], names=["a", "doc", "tie", "at", "words"])
+        _hashes.clear()
+
+
+class _Greedy:
+    """Greedy parse of each block's segments, sorted by (a, doc, tie, at), against those before them in the block."""
+
+    def __call__(self, batches):
+        key, place, index, out = None, None, {}, _Out()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            a, doc, tie, at = (b.column(i).to_numpy() for i in range(4))
+            each = [np.frombuffer(x, np.uint64) for x in b.column(4).to_pylist()]
+            sizes = np.array([len(x) for x in each])
+            flat, ends = np.concatenate(each), np.cumsum(sizes)
+            hashes = Prefixes(flat).runs(np.arange(len(flat) - WINDOW + 1), WINDOW).tolist()
+            rows, places, lengths = [], [], []
+            for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
+                if a[i] != key:
+                    key, place, index = a[i], None, {}
+                if place == (place := (doc[i], tie[i], at[i])):  # an equal row
+                    continue
+                own, begin, p = each[i], end - size, 0
+                while p <= size - WINDOW:
+                    known = index.setdefault(hashes[begin + p], (own, p))
+                    if known[0] is own and known[1] == p:  # new in this block
+                        p += 1
+                        continue
+                    reference, r = known
+                    most = min(size - p, len(reference) - r)
+                    differ = np.flatnonzero(own[p : p + most] != reference[r : r + most])
+                    length = int(differ[0]) if differ.size else most
+                    if length < WINDOW:  # only the hashes are equal
+                        p += 1
+                        continue
+                    rows.append(i)
+                    places.append(p)
+                    lengths.append(length)
+                    p += length - WINDOW + 1  # the first window that crosses the factor's boundary
+            if rows:
+                out.mark(doc[rows], tie[rows], at[rows] + np.array(places), np.array(lengths))
+                yield from out.batches()
 
 
 class _Expand:
-    """Pass 2: windows of the factors that were asked for."""
+    """Windows of the segments of large blocks; joined by chunk."""
 
     def __init__(self, chunk: int):
         self.chunk = chunk
@@ -220,18 +257,15 @@ class _Expand:
     def __call__(self, batches):
         out, held, count = _Out(), [], 0
         for b in batches:
-            for doc, tie, text, asked in zip(*(c.to_pylist() for c in b.columns)):
-                p = Prefixes(word_hashes(words_of(text)))
-                a = np.array([x["a"] for x in asked], np.int64)
-                at = np.array([x["at"] for x in asked], np.int64)
-                sizes = np.array([x["n"] for x in asked], np.int64) + 1
-                place = np.repeat(at, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                held.append((np.repeat(a, sizes), _signed(p.runs(place, WINDOW)), np.full(len(place), doc), np.full(len(place), tie), place))
-                count += len(place)
-                if count >= self.chunk:
-                    _windows(out, *(np.concatenate(c) for c in zip(*held)))
-                    held, count = [], 0
-                    yield from out.batches()
+            for a, doc, tie, at, words in zip(*(c.to_pylist() for c in b.columns)):
+                h = np.frombuffer(words, np.uint64)
+                n = len(h) - WINDOW + 1
+                held.append((np.full(n, a), _signed(Prefixes(h).runs(np.arange(n), WINDOW)), np.full(n, doc), np.full(n, tie), at + np.arange(n)))
+                count += n
+            if count >= self.chunk:
+                _windows(out, *(np.concatenate(c) for c in zip(*held)))
+                held, count = [], 0
+                yield from out.batches()
         if held:
             _windows(out, *(np.concatenate(c) for c in zip(*held)))
             yield from out.batches()
@@ -241,27 +275,31 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tie"), *more)
 
 
-def duplicate_spans(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def duplicate_spans(docs: DataFrame, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """(doc, tie, spans): for each document with duplicates, the array of (start word, words) that go."""
-    parsed = materialize(_keyed(docs, "text").mapInArrow(_Parse(chunk), ROWS), "rlz-factors")
-    blocks = parsed.where(F.col("kind").isin(FACTOR, SEVERAL)).repartition("a")
-    copies = F.rank().over(W.partitionBy("a", "b", "kind").orderBy("doc", "tie", "at"))
-    block = W.partitionBy("a")
-    mixed_block = (F.min("b").over(block) != F.max("b").over(block)) | (F.max("kind").over(block) == SEVERAL)
-    judged = blocks.withColumn("copy", copies).withColumn("several", mixed_block)
-    judged = judged.where((F.col("kind") == FACTOR) & ((F.col("copy") > 1) | F.col("several")))
+    parsed = materialize(_keyed(docs, "text").mapInArrow(_Parse(chunk), ROWS), "rlz-segments")
+    held = parsed.where(F.col("kind") == FACTOR).repartition("a")
+    copy = F.rank().over(W.partitionBy("a", "b").orderBy("doc", "tie", "at"))
+    whole = W.partitionBy("a")
+    judged = held.withColumn("copy", copy).withColumn("several", F.min("b").over(whole) != F.max("b").over(whole))
+    judged = judged.where((F.col("copy") > 1) | F.col("several"))
     judged = materialize(judged.select("a", "doc", "tie", "at", "n", "copy"), "rlz-judged")
-    ask = judged.where("copy = 1").groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "at", "n")).alias("asked"))
-    asked = _keyed(docs, "text").join(ask, ["doc", "tie"]).select("doc", "tie", "text", "asked")
-    expanded = materialize(asked.mapInArrow(_Expand(chunk), ROWS), "rlz-windows")
-    pieces = parsed.where(F.col("kind") == PIECE).unionByName(expanded.where(F.col("kind") == PIECE))
-    lost = pieces.withColumn("copy", F.rank().over(W.partitionBy("a", "b").orderBy("doc", "tie", "at"))).where("copy > 1")
-    spans = lost.select("doc", "tie", "at", F.lit(WINDOW).alias("n"))
-    for more in (parsed, expanded):
-        spans = spans.unionByName(more.where(F.col("kind") == MARK).select("doc", "tie", "at", "n"))
-    spans = spans.unionByName(judged.where("copy > 1").select("doc", "tie", "at", (F.col("n") + WINDOW).alias("n")))
+    firsts = judged.where("copy = 1")
+    ask = firsts.groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "at", "n")).alias("asked"))
+    asked = _keyed(docs, "text").join(ask, ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(_Segments(), "a long, doc long, tie long, at long, words binary")
+    asked = materialize(asked, "rlz-asked")
+    large = materialize(firsts.groupBy("a").count().where(F.col("count") > block).select("a"), "rlz-large")
+    small = asked.join(large, "a", "left_anti").repartition("a").sortWithinPartitions("a", "doc", "tie", "at")
+    factors = small.select("a", "doc", "tie", "at", "words").mapInArrow(_Greedy(), ROWS)
+    windows = materialize(asked.join(large, "a", "left_semi").select("a", "doc", "tie", "at", "words").mapInArrow(_Expand(chunk), ROWS), "rlz-windows")
+    lost = windows.where(F.col("kind") == PIECE).withColumn("copy", F.rank().over(W.partitionBy("a", "b").orderBy("doc", "tie", "at"))).where("copy > 1")
+    spans = judged.where("copy > 1").select("doc", "tie", "at", (F.col("n") + WINDOW).alias("n"))
+    for more in (lost, factors, *(x.where(F.col("kind") == MARK) for x in (parsed, windows))):
+        spans = spans.unionByName(more.select("doc", "tie", "at", "n"))
     place = F.struct(F.col("at").cast("int").alias("start"), F.col("n").cast("int").alias("words"))
-    return materialize(spans.groupBy("doc", "tie").agg(F.collect_set(place).alias("spans")), "rlz-spans")
+    found = materialize(spans.groupBy("doc", "tie").agg(F.collect_set(place).alias("spans")), "rlz-spans")
+    discard(parsed, judged, asked, large, windows)
+    return found
 
 
 def kept_words(text: str | None, spans) -> tuple[list[str], int]:
@@ -311,10 +349,10 @@ def remove_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.select("row", "spans").mapInArrow(_remove_batches, docs.schema)
 
 
-def digests(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def digests(docs: DataFrame, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     require(docs, "doc_id", "text")
-    spans = duplicate_spans(docs, chunk)
+    spans = duplicate_spans(docs, chunk, block)
     rows = _keyed(docs, "doc_id", "text").join(spans, ["doc", "tie"], "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_digest_batches, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 

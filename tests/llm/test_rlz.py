@@ -42,11 +42,12 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [1, 40, 200_000])
-def test_equals_brute_force(spark, chunk):
-    rows = corpus(chunk, 160)
+@pytest.mark.parametrize("chunk,block", [(1, 4096), (40, 2), (200_000, 4096), (200_000, 1)])
+def test_equals_brute_force(spark, chunk, block):
+    """Also with blocks that are split by window."""
+    rows = corpus(chunk + block, 160)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    out = {r["doc_id"]: tuple(r)[1:] for r in rlz.digests(df, chunk).collect()}
+    out = {r["doc_id"]: tuple(r)[1:] for r in rlz.digests(df, chunk, block).collect()}
     assert out == brute(rows)
 
 
