@@ -69,3 +69,23 @@ def vector_literal(values) -> str:
     if not len(values):
         raise ValueError("an empty vector has no literal")
     return "[" + ",".join(format(float(v), ".9g") for v in values) + "]"
+
+
+def hashed_embedder(frames):
+    """Stand-in for an embedding model: normalised hashed token counts of each text of the pandas frames."""
+    import hashlib
+    import math
+
+    import regex
+
+    from siftwell.functions.text import TOKEN
+
+    for f in frames:
+        out = []
+        for text in f["text"]:
+            v = [0.0] * BUCKETS
+            for t in regex.findall(TOKEN, text or ""):
+                v[int(hashlib.md5(t.lower().replace("ß", "ss").encode()).hexdigest()[:4], 16) % BUCKETS] += 1
+            norm = math.sqrt(sum(x * x for x in v)) or 1.0
+            out.append([x / norm for x in v])
+        yield f.assign(embedding=out)[["chunk_id", "embedding"]]
