@@ -18,6 +18,7 @@ are ignored by ``digests`` and kept by ``encode``. Caches are bounded by ``CACHE
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -27,12 +28,14 @@ from unicodedata import category
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siftwell.llm.common import map_rows, require, table, words_of
+from siftwell.llm.common import gathered, require, table, words_of
 
 #: Entries of a worker's caches of pieces; beyond it they are emptied.
-CACHE = 200_000
+CACHE = 300_000
 #: Longer pieces are encoded but not kept.
 LONGEST_KEPT = 64
+#: Bytes of texts whose words are learnt at once.
+GATHERED = 3 << 20
 
 
 def byte_letters() -> list[str]:
@@ -124,7 +127,7 @@ class Model:
         known = self._fits.get(key)
         if known is not None:
             return known
-        if len(self._fits) >= 2 * CACHE:
+        if len(self._fits) >= CACHE:
             self._fits.clear()
         rank, limit, out = self.rank, 1 << 60, True
         while True:
@@ -217,22 +220,28 @@ class Coder:
     def __init__(self, path: str):
         self.model = Model(path)
         self.words: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.long: list = []
 
     def learn(self, texts_words: list[list[str]]) -> None:
-        """Encode the words of a batch that are not known yet."""
-        if len(self.words) > CACHE:
-            self.words.clear()
-        known = self.words
-        new = {w for w in set().union(*texts_words) if w not in known}
-        split = {w: self.model.pieces(w) for w in new}
-        todo = sorted({p for ps in split.values() for p in ps if type(p) is bytes})
-        known = dict(self.model.encode_sorted(todo))
-        for w, ps in split.items():
-            self.words[w] = known[ps[0]] if len(ps) == 1 and type(ps[0]) is bytes else tuple(i for p in ps for i in (known[p] if type(p) is bytes else (p,)))
+        """Encode the words of a batch that are not known yet; pieces are kept apart, as words share them."""
+        for known in (self.words, self.pieces):
+            if len(known) > CACHE:
+                known.clear()
+        words, pieces = self.words, self.pieces
+        new = [w for w in set().union(*texts_words) if w not in words]
+        split = list(map(self.model.pieces, new))
+        todo = sorted({p for ps in split for p in ps if type(p) is bytes and p not in pieces})
+        pieces.update(self.model.encode_sorted(todo))
+        for w, ps in zip(new, split):
+            words[w] = pieces[ps[0]] if len(ps) == 1 and type(ps[0]) is bytes else tuple(i for p in ps for i in (pieces[p] if type(p) is bytes else (p,)))
+        self.long = [w for w in new if len(w) > LONGEST_KEPT], [p for p in todo if len(p) > LONGEST_KEPT]
 
     def forget_long(self) -> None:
-        for w in [w for w in self.words if len(w) > LONGEST_KEPT]:
-            del self.words[w]
+        for known, long in zip((self.words, self.pieces), self.long):
+            for x in long:
+                del known[x]
+        self.long = []
 
     def encode(self, text: str | None) -> list[int]:
         words = words_of(text)
@@ -262,10 +271,17 @@ class _Batches:
         self.path, self.digest = path, digest
 
     def __call__(self, batches):
+        gc.disable()  # what is made here holds no cycles, and the caches are large to search for them
+        try:
+            yield from self.coded(batches)
+        finally:
+            gc.enable()
+
+    def coded(self, batches):
         import pyarrow as pa
 
         c = coder(self.path)
-        for b in batches:
+        for b in gathered(batches, GATHERED):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             words = [words_of(x) for x in texts]
             c.learn(words or [[]])

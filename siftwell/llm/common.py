@@ -100,6 +100,21 @@ def map_rows(df: DataFrame, schema: str, per_row, *columns: str) -> DataFrame:
     return df.select(*columns).mapInArrow(_Mapper(schema, per_row), schema)
 
 
+def gathered(batches, least: int):
+    """Batches put together to about ``least`` bytes: a word that stands in several is looked up once."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class _Mapper:
     def __init__(self, schema: str, per_row):
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialize, require, table
+from siftwell.llm.common import gathered, materialize, require, table
 
 MAGIC = b"SWR1"
 BITS = 18
@@ -310,21 +310,6 @@ def unpack(image: bytes, only: range | None = None) -> tuple[list[int | None], n
 SECTIONS = "shard int, section int, n_docs long, n_tokens long, image binary"
 
 
-def gathered(batches):
-    """Batches put together to about GATHERED bytes: a word that stands in several is looked up once."""
-    import pyarrow as pa
-
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= GATHERED:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 class _Write:
     def __init__(self, path: str):
         self.path = path
@@ -335,7 +320,7 @@ class _Write:
         shard, section = TaskContext.get().partitionId(), 0
         coder = words(self.path)
         ids, docs, held = [], [], 0
-        for b in gathered(batches):
+        for b in gathered(batches, GATHERED):
             for i, x in zip(b.column(0).to_pylist(), coder.encode(b.column(1))):
                 ids.append(i)
                 docs.append(x)
