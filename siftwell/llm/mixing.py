@@ -10,8 +10,9 @@ integrated schedule); documents are range-sorted by that position.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source of its own, last in
 order; a null doc_id is ordered as the word ``null``; repeated rows are separate documents; equal hashes are
-ordered by size; an empty table gives an empty result; other columns, whatever their names, stay inside
-``row``. A source without words gets target 0.
+ordered by size, then by a hash of the text, so that a task that is run again deals the same copies; an empty
+table gives an empty result; other columns, whatever their names, stay inside ``row``. A source without words
+gets target 0.
 
 Skew: the prefix sums inside a source are taken in two levels, over ``2^bits`` hash buckets of each source,
 so that a source with a third of all rows is spread over all tasks; only one row for each (source, bucket)
@@ -25,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.llm.common import materialize, n_words, require
 
@@ -97,7 +99,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3
     for knots in ramps:
         check_schedule(knots)
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    base = docs.select(F.struct(*(docs[c] for c in (keep or docs.columns))).alias("row"), F.col("source"), n_words(F.col("text")).alias("size"), h.alias("h"), F.substring(h, 1, HEX_DIGITS).alias("bucket"))
+    base = docs.select(F.struct(*(docs[c] for c in (keep or docs.columns))).alias("row"), F.col("source"), n_words(F.col("text")).alias("size"), h.alias("h"), F.substring(h, 1, HEX_DIGITS).alias("bucket"), F.xxhash64("text").alias("tie"))
     # a key without nulls: windows and the join then share one partitioning, and rows are shuffled once
     base = materialize(base.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), "mix-base")
     buckets = base.groupBy("key", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3
     starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     s, t = starts.alias("s"), targets.alias("t")
     s = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("key", "bucket", "bucket_start", "source_size", "cls", "target")
-    inside = W.partitionBy("key", "bucket").orderBy("h", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("key", "bucket").orderBy("h", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     j = base.drop("source").withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(s, ["key", "bucket"])
     budget = F.round("target").cast("long")
 
@@ -127,9 +129,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3
     return j.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
-    """The taken copies as rows (row, epoch, position, words), range-sorted by training position."""
-    return mixed.select("row", F.explode("copies").alias("c")).select("row", "c.*").orderBy("position", "epoch", F.xxhash64("row"))
+    """The taken copies as rows (row, epoch, position, words), range-sorted by training position.
+
+    Equal positions are ordered by a hash of the row's columns, those that hold maps left out.
+    """
+    columns = [F.col("row").getField(f.name) for f in mixed.schema["row"].dataType if _hashable(f.dataType)]
+    return mixed.select("row", F.explode("copies").alias("c")).select("row", "c.*").orderBy("position", "epoch", F.xxhash64(*columns))
 
 
 def op1_mixing(spark, sf_dir):

@@ -52,3 +52,16 @@ def test_demand_time_inverts_the_schedule(spark):
             assert area == pytest.approx(share, abs=1e-9)
     with pytest.raises(ValueError):
         mixing.check_schedule([(0, 1), (0.5, 1)])
+
+
+def test_rows_of_one_id_and_size_keep_their_copies_however_they_are_dealt(spark):
+    rows = [(None, f"{w} words here", "s0") for w in "abcdefghij"] + [(1, "x y z " * 10, "s1"), (2, "one two", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    dealt = lambda n: sorted(map(str, mixing.mix(df.repartition(n), whole_documents=True).select("row.text", "copies").collect()))
+    assert dealt(1) == dealt(7)
+
+
+def test_columns_that_hold_maps(docs):
+    wide = docs.withColumn("m", F.create_map(F.lit("a"), F.col("size"))).withColumn("s", F.struct(F.array("m").alias("in"), "lang"))
+    out = mixing.training_order(mixing.mix(wide)).select("row.*")
+    assert out.columns == wide.columns and out.count() == mixing.training_order(mixing.mix(docs)).count()
