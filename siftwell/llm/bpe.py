@@ -13,7 +13,8 @@ a file without decoder asks. Texts are cut at ASCII white space, across which no
 
 Defined cases: null and empty texts have no tokens and decode to an empty text; very long texts and words
 take linear time; null doc_ids and repeated rows are kept; an empty table gives an empty result; other columns
-are ignored by ``digests`` and kept by ``encode``. Caches are bounded by ``CACHE`` entries for each worker.
+are ignored by ``digests`` and kept by ``encode``. Caches are bounded by ``CACHE`` entries for each worker, and go
+when another operator begins in it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from unicodedata import category
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siftwell.llm.common import gathered, require, table, words_of
+from siftwell.llm.common import gathered, hold, require, table, words_of
 
 #: Entries of a worker's caches of pieces; beyond it they are emptied.
 CACHE = 300_000
@@ -271,6 +272,7 @@ class _Batches:
         self.path, self.digest = path, digest
 
     def __call__(self, batches):
+        hold("bpe", coder.cache_clear)
         gc.disable()  # what is made here holds no cycles, and the caches are large to search for them
         try:
             yield from self.coded(batches)

@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +116,20 @@ def gathered(batches, least: int):
         yield pa.concat_batches(held)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called where a stage's Python code begins; ``clear`` empties what ``owner`` caches in the worker.
+
+    A worker serves the stages of all operators one after the other: what others cached in it goes now.
+    """
+    for other in [x for x in _held if x != owner]:
+        _held.pop(other)()
+    if clear:
+        _held[owner] = clear
+
+
 class _Mapper:
     def __init__(self, schema: str, per_row):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -125,6 +140,7 @@ class _Mapper:
     def __call__(self, batches):
         import pyarrow as pa
 
+        hold("rows")
         for b in batches:
             rows = [self.per_row(*x) for x in zip(*(c.to_pylist() for c in b.columns))]
             cols = list(zip(*rows)) if rows else [[] for _ in self.schema]

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import discard, materialize, release, require, table
+from siftwell.llm.common import discard, hold, materialize, release, require, table
 from siftwell.llm.rlz import Prefixes, _signed, mixed, word_hashes
 from siftwell.llm.rlz import _hashes as word_cache
 
@@ -171,6 +171,7 @@ class _Index:
         self.n, self.percent, self.spare, self.chunk = n, percent, spare, chunk
 
     def __call__(self, batches):
+        hold("hashes", word_cache.clear)
         bands = Bands(self.percent, self.spare)
         seen, sigs, keys, probes, count = set(), [], [], [], 0
         for batch in batches:
@@ -289,6 +290,7 @@ class _Check:
     def __call__(self, batches):
         import pyarrow as pa
 
+        hold("hashes", word_cache.clear)
         at, held = None, None
         for b in batches:
             k1, k2 = [], []

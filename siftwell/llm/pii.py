@@ -19,7 +19,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame
 
-from siftwell.llm.common import map_rows, require, table
+from siftwell.llm.common import hold, map_rows, require, table
 
 #: The contract's patterns, split at their anchors.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -161,6 +161,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def _redact_batches(batches):
     import pyarrow as pa
 
+    hold("rows")
     for b in batches:
         at = b.schema.get_field_index("text")
         new = pa.array([redacted(x) for x in b.column(at).to_pylist()], type=b.schema.field(at).type)

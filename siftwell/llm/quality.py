@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import map_rows, materialize, require, table, words_of
+from siftwell.llm.common import hold, map_rows, materialize, require, table, words_of
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -208,6 +208,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def _stat_batches(batches):
     import pyarrow as pa
 
+    hold("rows")
     for b in batches:
         rows = [statistics(x) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
         cols = list(zip(*rows)) if rows else [[]] * len(COUNTS)
