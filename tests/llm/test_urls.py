@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -65,3 +66,26 @@ def test_rules_fire_on_the_supplied_pages(spark, sf):
     out = urls.op4_urls(spark, sf.replace("sf0.001", "sf0.1"))
     counts = {(r["rule"] is None, r["verdict"]): r["count"] for r in out.groupBy("rule", "verdict").count().collect()}
     assert counts[True, "block"] > 0 and counts[True, "allow"] > 0
+
+
+def test_urls_of_more_tokens_than_fp_growth_takes_are_mined_whole(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(240):
+        # left and right say nothing one by one and all together; each of the sixteen keys tells a little
+        left, right = i % 2 == 0, i % 4 < 2
+        bad = left == right
+        keys = {f"q:k{j:02d}" for j in range(16) if rng.random() < (0.64 if bad else 0.5)} | {x for x, on in (("q:left", left), ("q:right", right)) if on}
+        rows.append((keys, bad))
+    assert max(len(k) for k, _ in rows) > urls.MAX_ITEMS
+    least, sure = 50, 0.9
+    urls_of = [("https://a.b.org/?" + "&".join(k[2:] + "=1" for k in sorted(keys)), bad) for keys, bad in rows]
+    rules = urls.mine(spark.createDataFrame(urls_of, "url string, bad boolean"), min_support=least / 240, min_confidence=sure)
+    sets = {}
+    for size in (1, 2, 3):
+        for c in combinations(sorted(set().union(*(k for k, _ in rows))), size):
+            own = [b for k, b in rows if k.issuperset(c)]
+            if sum(own) >= least and sum(own) >= sure * len(own):
+                sets[c] = sum(own) / len(own)
+    want = {c: x for c, x in sets.items() if not any(sets.get(p, -1) >= x for k in range(1, len(c)) for p in combinations(c, k))}
+    assert {i: round(c, 9) for i, c in rules} == {i: round(c, 9) for i, c in want.items()} and ("q:left", "q:right") in want
