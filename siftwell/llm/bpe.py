@@ -29,14 +29,14 @@ from unicodedata import category
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siftwell.llm.common import gathered, hold, require, table, words_of
+from siftwell.llm.common import gathered, hold, require, table, trim, words_of
 
 #: Entries of a worker's caches of pieces; beyond it they are emptied.
 CACHE = 300_000
 #: Longer pieces are encoded but not kept.
 LONGEST_KEPT = 64
-#: Bytes of texts whose words are learnt at once.
-GATHERED = 3 << 20
+#: Bytes of texts whose words are learnt at once; a batch's words and ids take up to 25 times that.
+GATHERED = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -278,6 +278,7 @@ class _Batches:
             yield from self.coded(batches)
         finally:
             gc.enable()
+            trim()
 
     def coded(self, batches):
         import pyarrow as pa
@@ -296,6 +297,7 @@ class _Batches:
                 row = pa.StructArray.from_arrays(b.columns, fields=list(b.schema))
                 yield pa.RecordBatch.from_arrays([row, pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
             c.forget_long()
+            trim()
 
     @staticmethod
     def digests(c: Coder, words: list[str]) -> tuple[int, str, str]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +118,25 @@ def gathered(batches, least: int):
         yield pa.concat_batches(held)
 
 
+@lru_cache(maxsize=1)
+def _c_library():
+    """malloc_trim of the C library, where it has one; large blocks are mapped apart from now on, so that they can go."""
+    try:
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: else it grows to 32 MB with the blocks that are freed
+        return c.malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: None
+
+
+def trim() -> None:
+    """Give the system back what this worker has freed: the C library and Arrow keep it else, for as long as the worker lives."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _c_library()(0)
+
+
 _held: dict[str, Callable[[], None]] = {}
 
 
@@ -124,8 +145,12 @@ def hold(owner: str, clear: Callable[[], None] | None = None) -> None:
 
     A worker serves the stages of all operators one after the other: what others cached in it goes now.
     """
-    for other in [x for x in _held if x != owner]:
+    others = [x for x in _held if x != owner]
+    for other in others:
         _held.pop(other)()
+    if others:
+        gc.collect()
+    trim()
     if clear:
         _held[owner] = clear
 

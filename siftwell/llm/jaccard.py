@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import discard, hold, materialize, release, require, table
+from siftwell.llm.common import discard, hold, materialize, release, require, table, trim
 from siftwell.llm.rlz import Prefixes, _signed, mixed, word_hashes
 from siftwell.llm.rlz import _hashes as word_cache
 
@@ -197,7 +197,9 @@ class _Index:
                 seen, sigs, keys, probes, count = set(), [], [], [], 0
         if count:
             yield from self.flush(sigs, keys, probes)
+            del sigs, keys, probes
         word_cache.clear()
+        trim()
 
     @staticmethod
     def batch(kind, a, b, n, tags=None, histograms=None):
@@ -306,6 +308,8 @@ class _Check:
                         k1.append(first)
                         k2.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["k1", "k2"])
+        word_cache.clear()
+        trim()
 
 
 class _Propose:
